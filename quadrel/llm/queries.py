@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from . import classifier, secrets
 from .common import table
 from .mixing import mix
+from .neardup import near_duplicates
 from .rules import quality_rules
 
 
+def op1_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return classifier.score(docs, model)
+
+
+def op2_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, percent=85)
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_secret_scans(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
     "op7_mixing": op7_mixing,
 }
 
