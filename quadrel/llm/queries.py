@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import classifier, secrets
+from pyspark.sql import functions as F
+
+from . import classifier, pieces, secrets
 from .common import table
+from .lm import lm_scores
 from .mixing import mix
 from .neardup import near_duplicates
 from .rules import quality_rules
+from .urls import url_filter
 
 
 def op1_quality_classifier(spark, sf_dir):
@@ -23,6 +27,13 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_url_filters(spark, sf_dir):
+    """Labels come from the labels table by id: a page is blocked if its row is of low quality or toxic."""
+    blocked = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    labels = table(spark, sf_dir, "labels", F.col("doc_id").alias("id"), blocked.alias("blocked"))
+    return url_filter(table(spark, sf_dir, "pages", "page_id", "url"), labels)
+
+
 def op6_secret_scans(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -31,12 +42,23 @@ def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_pieces(spark, sf_dir):
+    return pieces.encoded_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op5_url_filters": op5_url_filters,
     "op6_secret_scans": op6_secret_scans,
     "op7_mixing": op7_mixing,
+    "op9_lm_scoring": op9_lm_scoring,
+    "op10_pieces": op10_pieces,
 }
 
 OP7_SQL = r"""
