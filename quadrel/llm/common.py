@@ -64,3 +64,8 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def with_size_checked(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` (narrow) rows, else left to a shuffle join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import free_name, materialise, word_count
 
 HASH_BITS = 60
 LEVEL_BITS = 12
@@ -125,6 +125,21 @@ def _refine(rows: DataFrame, state: DataFrame, shift: int) -> DataFrame:
     )
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    columns = (F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    return materialise(docs.select(*columns, row_hash(F.col(id_col)).alias("h")), "mix")
+
+
+def _cuts(rows: DataFrame, cycle) -> DataFrame:
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return thresholds(rows, source_targets(sizes, cycle))
+
+
+def _times(h: Column) -> Column:
+    """How often a row is taken, by its hash and its source's cut."""
+    return F.col("base") + F.when(h < F.col("threshold"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle=CYCLE) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken.
 
@@ -134,17 +149,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     input always gives the same mix. An empty table gives no rows. Only the
     three named columns are read; others may have any names.
     """
-    rows = materialise(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            row_hash(F.col(id_col)).alias("h"),
-        ),
-        "mix",
-    )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    cuts = thresholds(rows, source_targets(sizes, cycle)).withColumnRenamed("source", "cut_source")
+    rows = _sized(docs, id_col, text_col, source_col)
+    cuts = _cuts(rows, cycle).withColumnRenamed("source", "cut_source")
     joined = rows.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")))
-    times = F.col("base") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _times(F.col("h"))).alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle=CYCLE) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as the mix takes it, columns unchanged.
+
+    Only the cuts, one row per source, are joined to the rows.
+    """
+    cuts = _cuts(_sized(docs, id_col, text_col, source_col), cycle)
+    at, base, cut = (free_name(docs, n) for n in ("mix_source", "mix_base", "mix_cut"))
+    renamed = cuts.select(F.col("source").alias(at), F.col("base").alias(base), F.col("threshold").alias(cut))
+    joined = docs.join(renamed, docs[source_col].eqNullSafe(renamed[at]))
+    times = F.col(base) + F.when(row_hash(docs[id_col]) < F.col(cut), 1).otherwise(0)
+    copies = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
+    return joined.select(*[docs[c] for c in docs.columns], copies.alias(at)).drop(at)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship
-from .common import materialise
+from .common import materialise, with_size_checked
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -298,3 +298,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose document is kept, columns unchanged; rows with a null id stay."""
+    dropped = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped"))
+    dropped = with_size_checked(materialise(dropped.distinct(), "dropped"))
+    return docs.join(dropped, docs[id_col] == dropped["dropped"], "left_anti")

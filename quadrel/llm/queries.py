@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import classifier, pieces, secrets
+from . import audio, classifier, pieces, secrets
 from .common import table
+from .html_text import page_text
 from .lm import lm_scores
 from .mixing import mix
 from .neardup import near_duplicates
@@ -27,6 +28,11 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_audio(spark, sf_dir):
+    """The tables hold no audio; the recordings are the embeddings, played as tunes."""
+    return audio.match_recordings(audio.rendered(table(spark, sf_dir, "embeddings", "vec_id", "embedding")))
+
+
 def op5_url_filters(spark, sf_dir):
     """Labels come from the labels table by id: a page is blocked if its row is of low quality or toxic."""
     blocked = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
@@ -42,6 +48,10 @@ def op7_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op8_html_text(spark, sf_dir):
+    return page_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_lm_scoring(spark, sf_dir):
     return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -54,9 +64,11 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_audio": op4_audio,
     "op5_url_filters": op5_url_filters,
     "op6_secret_scans": op6_secret_scans,
     "op7_mixing": op7_mixing,
+    "op8_html_text": op8_html_text,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_pieces": op10_pieces,
 }
