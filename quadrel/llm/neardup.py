@@ -6,11 +6,16 @@
 3. Classes that share a band are candidates. In each bucket every class is
    paired with the lowest one, so a bucket gives one pair fewer than it has
    classes.
-4. Pairs are confirmed on full sets; confirmed links make components.
-5. Buckets whose classes still lie in several components are finished
-   exactly: they are cut into blocks of bounded size, each pair of blocks is
-   one task, and all pairs between different components are confirmed there.
-   Only links that join two components leave a block.
+4. Pairs whose signatures agree too little for the threshold (by five
+   standard deviations) are put aside, the others are confirmed on full
+   sets, and confirmed links make components.
+5. All classes that were paired with one and the same lowest class form a
+   group; every two classes that share a band are in some group together.
+   Groups that still hold several components are finished: members outside
+   the group's main component meet all its members, in pairs of blocks of
+   bounded size. Signatures first tell which members may have a link at all;
+   those are compared on full sets, and only links that join components
+   leave a block.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from .graph import components
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 LEVEL_SHIFT = np.uint64(56)
-BLOCK = 256
+BLOCK = 512
 _CHUNK_BYTES = 4 << 20
 _MOST_CACHED = 300_000
 
@@ -135,7 +140,7 @@ def _chunks(texts: list):
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys) of every whole text."""
+    """(doc_id, n_shingles, digest, keys, sig) of every whole text; sig has the low byte of each slot."""
 
     def run(batches):
         cache = WordHashes()
@@ -143,7 +148,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _chunks(texts):
                 sets = [shingles(t, cache, words) for t in texts[a:b]]
-                keys = band_keys(super_minhash(sets))
+                sig = super_minhash(sets)
+                keys = band_keys(sig)
                 offsets = np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -151,25 +157,48 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1))),
+                        pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "keys"],
+                    names=["doc_id", "n_shingles", "digest", "keys", "sig"],
                 )
 
-    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
-def full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(id, shingles): the sorted hashes as little-endian bytes."""
+#: Bits of the bitmap that preselects documents, at most: 1 MB, whatever the number of ids.
+MOST_BITS = 1 << 23
+
+
+def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents with the ids in ``wanted``: sorted hashes as little-endian bytes.
+
+    A bitmap of hashed ids, of bounded size, lets most other documents fall
+    away where they are read, so no texts are shuffled; what it lets through
+    by chance goes at the join of ids that follows.
+    """
+    n = wanted.count()
+    bits = min(MOST_BITS, 1 << max(10, (16 * n).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marked = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("at"))
+    rows = marked.agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(slot, 32) as int))")).alias("mask")).collect()
+    bitmap = np.zeros(bits // 32, np.uint64)
+    for r in rows:
+        bitmap[r["at"]] = r["mask"]
+    held = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches):
         cache = WordHashes()
         for batch in batches:
-            ids, data = batch.column(0), batch.column(1).to_pylist()
+            at = batch.column(1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(held.value[at >> 5] >> (at & 31).astype(np.uint64) & np.uint64(1))
+            ids, data = batch.column(0).take(pa.array(hit)), batch.column(2).take(pa.array(hit)).to_pylist()
             for a, b in _chunks(data):
                 packed = [shingles(t, cache, words).tobytes() for t in data[a:b]]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
-    return map_arrow(texts, run, "id long, shingles binary")
+    rows = texts.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", slot.alias("slot"), "text")
+    found = map_arrow(rows, run, "id long, shingles binary")
+    return found.join(wanted.select(F.col("id").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -197,26 +226,95 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined, run, "a long, b long")
 
 
+def least_agreement(percent: int) -> float:
+    """Share of equal slots that pairs at the threshold exceed, but for a chance of about 3e-7."""
+    t = percent / 100
+    return t - 5 * (t * (1 - t) / SLOTS) ** 0.5
+
+
+def _slots(sigs) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), SLOTS)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and signatures allow a link."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "sig_a", "sig_b")
+    least = least_agreement(percent)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (_slots(batch.column(i).to_pylist()) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(1) >= least))
+
+    return map_arrow(joined, run, "a long, b long")
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Rows of ``placed`` (center, id, component, ...) dealt to pairs of blocks of their group.
+
+    A group's outer members (``outer``, those outside its most frequent
+    component) are cut into blocks, and so are all its members. An outer row
+    goes to every block of members, and any row to every block of outer
+    ones. Groups of one component fall away; a group that is nearly all one
+    component is hardly multiplied.
+    """
+    count = placed.groupBy("center", "component").agg(F.count("*").alias("n"))
+    group = count.groupBy("center").agg(
+        F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")
+    )
+    open_ = group.where("most < all").select(
+        F.col("center").alias("open_center"),
+        "main",
+        F.ceil(F.col("all") / BLOCK).cast("int").alias("member_parts"),
+        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer_parts"),
+    )
+    rows = placed.join(open_, F.col("center") == F.col("open_center"))
+    member_part = F.pmod(F.xxhash64("id"), F.col("member_parts")).cast("int")
+    outer_part = F.pmod(F.xxhash64("id"), F.col("outer_parts")).cast("int")
+    spread = lambda x, n: F.explode(F.sequence(F.lit(0), n - 1)).alias(x)
+    kept = [*placed.columns, (F.col("component") != F.col("main")).alias("stray")]
+    outer = rows.where("component != main").select(*kept, F.lit(True).alias("outer"), outer_part.alias("o"), spread("m", F.col("member_parts")))
+    member = rows.select(*kept, F.lit(False).alias("outer"), spread("o", F.col("outer_parts")), member_part.alias("m"))
+    return outer.unionByName(member)
+
+
+def _candidates(rows: pd.DataFrame, percent: int):
+    """For each outer row of a pair of blocks: its place, and those of members it may link with, likeliest first."""
+    ids, comps, sizes, slots = rows["id"].to_numpy(), rows["component"].to_numpy(), rows["n_shingles"].to_numpy(), _slots(rows["sig"])
+    outer, stray = rows["outer"].to_numpy(), rows["stray"].to_numpy()
+    members, least = np.flatnonzero(~outer), least_agreement(percent)
+    for i in np.flatnonzero(outer):
+        near = np.minimum(sizes[members], sizes[i]) * 100 >= np.maximum(sizes[members], sizes[i]) * percent
+        # Two outer rows meet twice; once is enough.
+        met = members[near & (comps[members] != comps[i]) & (~stray[members] | (ids[members] > ids[i]))]
+        same = (slots[met] == slots[i]).mean(1)
+        likely = np.flatnonzero(same >= least)
+        if len(likely):
+            yield i, met[likely[np.argsort(-same[likely], kind="stable")]]
+
+
+def _involved(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    places = [np.append(others, i) for i, others in _candidates(rows, percent)]
+    ids = np.unique(rows["id"].to_numpy()[np.concatenate(places)]) if places else np.zeros(0, np.int64)
+    return pd.DataFrame({"center": np.full(len(ids), rows["center"].iloc[0]), "id": ids})
+
+
 def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links that join components, among the rows of one pair of blocks."""
-    rows = rows.drop_duplicates("id")
-    ids, root = rows["id"].tolist(), dict.fromkeys(rows["component"])
-    root = {c: c for c in root}
+    root = {c: c for c in rows["component"]}
 
     def find(c):
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
+    ids, comps = rows["id"].tolist(), rows["component"].tolist()
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-    comps = rows["component"].tolist()
-    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
     found = []
-    for place, i in enumerate(order):
-        most = len(sets[i]) * 100
-        for j in order[place + 1 :]:
-            if most < percent * len(sets[j]):
-                break
+    for i, others in _candidates(rows, percent):
+        for j in others:
             a, b = find(comps[i]), find(comps[j])
             if a != b and linked(sets[i], sets[j], percent):
                 root[max(a, b)] = min(a, b)
@@ -224,31 +322,36 @@ def _block_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _rest(members: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components that share a bucket and were not compared yet."""
+def _placed(members: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     known = found.select(F.col("node").alias("known"), "component")
-    placed = members.join(known, F.col("id") == F.col("known"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    placed = materialise(placed, "placed")
-    buckets = placed.groupBy("key").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("id")).alias("x"),
-        F.min("id").alias("first"),
-    )
-    # Bands often repeat a bucket with the same members; once is enough.
-    open_ = buckets.where("low != high").groupBy("n", "x", "first").agg(F.min("key").alias("key"))
-    keys = open_.select(F.col("key").alias("open_key"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = (
-        placed.join(keys, F.col("key") == F.col("open_key"))
-        .withColumn("part", part)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "id", "component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    )
-    ship(sets.sparkSession)
-    joined = spread.join(sets, "id")
-    return joined.groupBy("key", "low", "high").applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long")
+    joined = members.join(known, F.col("id") == F.col("known"), "left")
+    return joined.select("center", "id", F.coalesce("component", "id").alias("component"), *columns)
+
+
+def _rest(stars: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that share a group."""
+    ship(stars.sparkSession)
+    members = stars.select(F.col("a").alias("center"), F.col("b").alias("id")).union(stars.select("a", "a").distinct())
+    signs = classes.select("id", "n_shingles", "sig")
+    signed = materialise(_placed(members.join(signs, "id"), found, "n_shingles", "sig"), "placed")
+    blocks = _blocks(signed).groupBy("center", "o", "m")
+    involved = materialise(blocks.applyInPandas(lambda rows: _involved(rows, percent), "center long, id long").distinct(), "involved")
+    missing = involved.select("id").distinct().join(sets.select("id"), "id", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.union(_sets_of(missing, texts, words, "sets2"))
+    full = _placed(involved.join(signs, "id").join(sets, "id"), found, "n_shingles", "sig", "shingles")
+    again = _blocks(full).groupBy("center", "o", "m")
+    return materialise(again.applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long"), "more")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def _sets_of(wanted: DataFrame, texts: DataFrame, words: int, tag: str) -> DataFrame:
+    """Full sets of the documents with the ids in ``wanted``."""
+    wanted = materialise(wanted.select("id"), f"{tag}-ids")
+    return materialise(full_sets(texts, wanted, words).groupBy("id").agg(F.first("shingles").alias("shingles")), tag)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,28 +368,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = materialise(signatures(texts, words), "signed")
     usable = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = materialise(
-        usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes"
-    )
+    first = [F.first(c).alias(c) for c in ("n_shingles", "keys", "sig")]
+    classes = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), *first), "classes")
     banded = classes.select("id", F.explode("keys").alias("key"))
     shared = materialise(
         banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low != high"), "shared"
     )
     large = shared.where("n > 2").select(F.col("key").alias("large_key"), "low")
     members = materialise(banded.join(large, F.col("key") == F.col("large_key")).select("key", "id", "low"), "members")
-    pairs = materialise(
+    stars = materialise(
         shared.where("n = 2")
         .select(F.col("low").alias("a"), F.col("high").alias("b"))
         .union(members.where("id != low").select("low", "id"))
         .distinct(),
-        "pairs",
+        "stars",
     )
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    chosen = texts.join(wanted, F.col("doc_id") == F.col("id")).select("id", "text")
-    sets = materialise(full_sets(chosen, words).groupBy("id").agg(F.first("shingles").alias("shingles")), "sets")
+    pairs = materialise(_plausible(stars, classes, percent), "pairs")
+    sets = _sets_of(_ends(pairs), texts, words, "sets")
     links = materialise(_confirmed(pairs, sets, percent), "confirmed")
     found = components(links)
-    more = materialise(_rest(members.select("key", "id"), found, sets, percent), "more")
+    more = _rest(stars, found, classes, sets, texts, words, percent)
     if not more.isEmpty():
         found = components(links.union(more))
     labels = classes.join(found, F.col("id") == F.col("node"), "left").select(
