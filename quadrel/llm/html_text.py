@@ -283,7 +283,8 @@ def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
     hashes = materialise(_line_hashes(keyed.select("key", "host", "path", "html")), "lines")
     shared = materialise(_differences(hashes), "shared").withColumnRenamed("key", "shared_key")
-    joined = keyed.join(shared, F.col("key") == F.col("shared_key")).select("page_id", "url", "html", "shared")
+    # One row per page on either side, so this is a merge join at every size.
+    joined = keyed.join(shared.hint("merge"), F.col("key") == F.col("shared_key")).select("page_id", "url", "html", "shared")
 
     def run(batches):
         for batch in batches:
