@@ -1,6 +1,6 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
-Documents are read once into chunks of some 4 MB of text: the distinct words
+Documents are read once into chunks of some 2 MB of text: the distinct words
 of a chunk as sorted 64-bit hashes, and the text as numbers into that list.
 Counts over the corpus are then gathered by an exchange of blocks. A chunk
 sends the sorted keys it needs, with its own counts, to owners that each hold
@@ -32,8 +32,8 @@ from .common import materialise
 from .neardup import WordHashes, mix64
 
 TEST_FOLDS, TEST_FOLD, DEV_FOLDS = 7, 2, 10
-CHUNK_BYTES = 4 << 20
-KEYS_PER_OWNER = 2_000_000
+CHUNK_BYTES = 2 << 20
+KEYS_PER_OWNER = 1_000_000
 #: The end of a text, also the context of its first word. No word holds a space.
 END = xxhash.xxh3_64_intdigest(b" end")
 BUCKETS = 48
