@@ -44,8 +44,8 @@ def shr(x: Column, n: int) -> Column:
 
 
 def mul16(a, b) -> Column:
-    """High part of a product: (a * b) >> 16."""
-    return shr(long(a) * long(b), 16)
+    """High part of a 32-bit product, which wraps: (a * b) >> 16."""
+    return shr(wrap32(long(a) * long(b)), 16)
 
 
 def rescale_prob(prob: Column, weight: Column, bias: Column, most: int = 255) -> Column:

@@ -150,6 +150,21 @@ def test_batch_decoding_is_sequential_decoding(spark):
     assert planes.where("octet_length(data) != width * height").count() == 0
 
 
+def test_groups_in_parallel_equal_streams_in_order(spark):
+    rng = random.Random(7)
+    rows = []
+    for stream in ("a", "b", None):
+        for n in range(40):
+            data = synth.header(n % 7 == 3, rng.randrange(64), 1 + n % 2, 1, version=6 + n % 3, payload=payload(n), huffman=n % 5 == 0)
+            if n % 6 == 5:
+                data = rng.choice([b"", data[:3], bytes([data[0]]) + rng.randbytes(9), data[:20]])
+            rows.append((stream, n, data))
+    rng.shuffle(rows)
+    packets = spark.createDataFrame(rows, carriers.PACKETS)
+    key = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    assert key(streams.decode_groups(packets, TABLES)) == key(streams.decode_streams(packets, TABLES))
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(i, i % 2) for i in range(24)], "event_id long, user_id long")
     packets = synth.packets(events).select(F.col("stream_id").cast("string").alias("stream_id"), "pkt_no", "data").orderBy("pkt_no")
