@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import bilinear, four_tap, long, shr, trunc_div, wrap16
@@ -61,17 +61,17 @@ def interpolate(pixels: Column, mx: int, my: int, taps: tuple | None = None) ->
     return F.transform(places, lambda i: four_tap([along(i, d) for d in (-1, 0, 1, 2)], ty))
 
 
-def neighbour_vectors(spark: SparkSession, grid: DataFrame) -> DataFrame:
+def neighbour_vectors(grid: DataFrame) -> DataFrame:
     """Nearest and near vector of every macroblock, from its neighbours with the same reference.
 
     Neighbours are looked at in a fixed order; the first vector that is not
     zero is the nearest one, the first later one that differs is the near
     one, and the nearest one also predicts if it is among the first two
-    places. The twelve places are a dimension of fixed size, and each
+    places. The twelve places are literals, and each
     macroblock reads at most twelve others of its own picture.
     """
-    places = spark.createDataFrame([(i, y, x) for i, (y, x) in enumerate(NEIGHBOURS)], "place int, dy int, dx int")
-    wanted = grid.select("pkt_no", "mb_x", "mb_y", "ref_id").crossJoin(F.broadcast(places))
+    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for i, (y, x) in enumerate(NEIGHBOURS)])
+    wanted = grid.select("pkt_no", "mb_x", "mb_y", "ref_id", F.inline(places))
     wanted = wanted.select("*", (F.col("mb_x") + F.col("dx")).alias("nx"), (F.col("mb_y") + F.col("dy")).alias("ny"))
     near = grid.where("mv_x != 0 or mv_y != 0").select(
         F.col("pkt_no").alias("p"), F.col("mb_x").alias("nx"), F.col("mb_y").alias("ny"), F.col("ref_id").alias("r"), "mv_x", "mv_y"

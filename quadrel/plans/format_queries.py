@@ -54,7 +54,8 @@ def plane_layout(spark, sf_dir):
     """Layout of every predefined format at the size of every part."""
     n = F.col("p_partkey")
     sizes = carriers.table(spark, sf_dir, "part").select("p_partkey", (n % 1920 + 1).alias("width"), (n % 1080 + 1).alias("height"))
-    laid = P.plane_layout(sizes.crossJoin(F.broadcast(P.pixel_formats(spark))))  # seven formats
+    every = sizes.withColumn("wanted", F.explode(F.array(*[F.lit(f[0]) for f in P.FORMATS])))
+    laid = P.plane_layout(every.join(F.broadcast(P.pixel_formats(spark)), F.col("wanted") == F.col("name")))  # seven formats
     texts = [F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("offsets", "strides")]
     return laid.select("p_partkey", "name", "kind", *texts, "size")
 
@@ -108,3 +109,25 @@ o as (select block_id, 0 as place, 0 as coefficient from b where place = 0
   union all select block_id, row_number() over (partition by block_id order by band, place) as place, place as coefficient from b where place > 0)
 select block_id, place::bigint as place, coefficient::bigint as coefficient, {list(ZIGZAG)}[coefficient + 1]::bigint as zigzag from o""",
 }
+
+
+def _planar(*comps: tuple) -> str:
+    return " ".join(f"({s}x{s}, planar({o},1))" for s, o in comps)
+
+
+def _packed(*comps: tuple) -> str:
+    return " ".join(f"(0x0, packed(+{o},{mask}, step {step}))" for o, mask, step in comps)
+
+
+_TEXTS = {
+    "yuv420": ("yuv422p", "YUV(YUVJ) (elem LE size 0)", _planar((0, 0), (1, 1), (1, 2))),
+    "yuv410": ("yuv410p", "YUV(YUVJ) (elem LE size 0)", _planar((0, 0), (2, 1), (2, 2))),
+    "yuva410": ("yuva410p", "YUV(YUVJ) (alpha elem LE size 0)", _planar((0, 0), (2, 1), (2, 2), (0, 3))),
+    "yuva420": ("yuva422p", "YUV(YUVJ) (alpha elem LE size 0)", _planar((0, 0), (1, 1), (1, 2), (0, 3))),
+    "pal8": ("pal8", "RGB(RGB) (palette elem LE size 3)", _packed((0, "FF", 3), (1, "FF", 3), (2, "FF", 3))),
+    "rgb565": ("bgr565le", "RGB(RGB) (elem LE size 2)", _packed((0, "F800", 2), (0, "7E0", 2), (0, "1F", 2))),
+    "rgb24": ("rgb24", "RGB(RGB) (elem LE size 3)", _packed((0, "FF", 3), (1, "FF", 3), (2, "FF", 3))),
+}
+ORACLES["format_short_name"] = "select * from (values " + ", ".join(
+    f"('{name}', '{short}', '[Formaton for {head}:  {comps}]')" for name, (short, head, comps) in _TEXTS.items()
+) + ") as t(name, short_name, text)"

@@ -36,7 +36,7 @@ def mv_split(spark, sf_dir):
 
 
 def mv_candidates(spark, sf_dir):
-    return M.neighbour_vectors(spark, carriers.mb_grid(spark, sf_dir))
+    return M.neighbour_vectors(carriers.mb_grid(spark, sf_dir))
 
 
 def edge_emulation(spark, sf_dir):
