@@ -12,10 +12,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set = set()
+#: Arrow batches to Python, at most: what a worker and its JVM side hold at once stays small.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application; workers need not share the driver's path."""
+    """Send the package to the executors, once per application; workers need not share the driver's path.
+
+    Also lowers the session's byte limit of Arrow batches, if it has its default.
+    """
+    if spark.conf.get(BATCH_KEY, f"{BATCH_DEFAULT}b").rstrip("bB") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
