@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
+from .common import small_batches
 from .mixing import row_hash
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -32,16 +33,18 @@ HIDDEN, EPOCHS = 24, 300
 SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
 THRESHOLD = 0.3
 FOLDS = 5
-_MOST_CACHED = 400_000
+_MOST_CACHED = 100_000
 
 
 class Buckets(dict):
     """Bucket of each token seen, cleared when it grows too large."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > _MOST_CACHED:
-            self.clear()
-        self[token] = at = xxhash.xxh3_64_intdigest(token) % BUCKETS
+        at = xxhash.xxh3_64_intdigest(token) % BUCKETS
+        if len(token) <= 64:
+            if len(self) > _MOST_CACHED:
+                self.clear()
+            self[token] = at
         return at
 
 
@@ -68,9 +71,11 @@ def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
         if not pairs:
             continue
         pair, count = np.unique(np.concatenate(pairs), return_counts=True)
-        left, right, weight = pair // BUCKETS, pair % BUCKETS, np.log1p(count).astype(np.float32)[:, None]
-        np.add.at(words, left, index[right] * weight)
-        np.add.at(words, right, index[left] * weight)
+        for at in range(0, len(pair), 50_000):
+            some = pair[at : at + 50_000]
+            left, right, weight = some // BUCKETS, some % BUCKETS, np.log1p(count[at : at + 50_000]).astype(np.float32)[:, None]
+            np.add.at(words, left, index[right] * weight)
+            np.add.at(words, right, index[left] * weight)
     return words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-6)
 
 
@@ -186,7 +191,7 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             p = held.value.score(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32), pa.int32())],
@@ -203,7 +208,7 @@ def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Da
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, at):
             yield batch.filter(pa.array(held.value.score(batch.column(at).to_pylist()) >= THRESHOLD))
 
     return map_arrow(docs, run, docs.schema)

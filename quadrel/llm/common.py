@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="quadrel-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -69,3 +71,20 @@ def free_name(df: DataFrame, stem: str) -> str:
 def with_size_checked(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most_rows`` (narrow) rows, else left to a shuffle join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def small_batches(batches, column: int, most_bytes: int = 4 << 20):
+    """Slices of Arrow batches with about ``most_bytes`` of text each, so that what Python makes of them stays small.
+
+    A single longer text is a slice of its own.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

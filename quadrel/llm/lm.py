@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship
 from .classifier import fold
-from .common import materialise
+from .common import materialise, small_batches
 from .neardup import WordHashes, mix64
 
 TEST_FOLDS, TEST_FOLD, DEV_FOLDS = 7, 2, 10
@@ -45,7 +45,7 @@ _A = np.uint64(0xFF51AFD7ED558CCD)
 
 def _pack(values: np.ndarray) -> bytes:
     """Compress numbers byte plane by byte plane."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.compress(planes.tobytes(), 1)
 
 
@@ -90,7 +90,7 @@ def coded(docs: DataFrame) -> DataFrame:
         cache, end = WordHashes(), np.array([END], np.uint64)
         part, count = TaskContext.get().partitionId() << 24, 0
         open_: dict = {False: [[], 0], True: [[], 0]}
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             for doc_id, held, dev, text in zip(*(c.to_pylist() for c in batch.columns)):
                 words = np.array([cache[w] for w in text.lower().split()], np.uint64) if text else end[:0]
                 rows = open_[dev]
@@ -124,13 +124,15 @@ def _owner(keys: np.ndarray, owners: int) -> np.ndarray:
 
 
 def _requests(chunk: int, keys: np.ndarray, train: np.ndarray, dev: np.ndarray, owners: int) -> pa.RecordBatch:
-    cuts = np.searchsorted(_owner(keys, owners), np.arange(owners + 1))
-    used = [k for k in range(owners) if cuts[k] < cuts[k + 1]]
-    part = lambda x, f: pa.array([f(x[cuts[k] : cuts[k + 1]]) for k in used], pa.binary())
+    """A block for each owner that holds any of the keys: never more rows than keys, however many owners there are."""
+    owner = _owner(keys, owners)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1, [len(keys)]))
+    blocks = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+    part = lambda x, f: pa.array([f(x[b]) for b in blocks], pa.binary())
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([chunk] * len(used), pa.int64()),
-            pa.array(used, pa.int32()),
+            pa.array([chunk] * len(blocks), pa.int64()),
+            pa.array([int(owner[b.start]) for b in blocks], pa.int32()),
             part(keys, _pack_keys),
             part(train.astype(np.uint32), _pack),
             part(dev.astype(np.uint32), _pack),
@@ -175,6 +177,13 @@ def _counts(answers: list) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate([_unpack(a[name], "u8") for a in answers]).astype(np.float64) for name in ("train", "dev"))
 
 
+def _rows(batches):
+    """The rows of Arrow batches as dictionaries, one at a time, as each holds a whole chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Chunk:
     """One chunk's tokens, flags and keys."""
 
@@ -203,21 +212,19 @@ class Chunk:
 
 def _word_requests(chunks: DataFrame, owners: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                yield _requests(c.number, c.words, *c.own_counts(c.tokens, len(c.words)), owners)
+        for row in _rows(batches):
+            c = Chunk(row)
+            yield _requests(c.number, c.words, *c.own_counts(c.tokens, len(c.words)), owners)
 
     return map_arrow(chunks, run, REQUEST)
 
 
 def _bigram_requests(chunks: DataFrame, owners: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                keys, place = c.bigrams()
-                yield _requests(c.number, keys, *c.own_counts(place, len(keys)), owners)
+        for row in _rows(batches):
+            c = Chunk(row)
+            keys, place = c.bigrams()
+            yield _requests(c.number, keys, *c.own_counts(place, len(keys)), owners)
 
     return map_arrow(chunks, run, REQUEST)
 
@@ -237,21 +244,20 @@ def _histogram(joined: DataFrame, n_train: int, n_dev: int, n_words: int) -> Dat
     """(bucket, bin1, bin2, n) over the tokens of held-out chunks, by the counts of the rest."""
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                train, dev = _counts(row["word_counts"])
-                rest = train - dev
-                _, place = c.bigrams()
-                pair_train, pair_dev = _counts(row["pair_counts"])
-                pair = (pair_train - pair_dev)[place]
-                context = rest[c.context]
-                p1 = rest[c.tokens] / max(1, n_train - n_dev)
-                p2 = np.where(context > 0, pair / np.maximum(context, 1), 0)
-                p0 = 1 / (n_words + 1)
-                cell = (_bucket(context) * 1000 + _bins(p1, p0) + 1) * 1000 + _bins(p2, p0) + 1
-                cells, n = np.unique(cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
+        for row in _rows(batches):
+            c = Chunk(row)
+            train, dev = _counts(row["word_counts"])
+            rest = train - dev
+            _, place = c.bigrams()
+            pair_train, pair_dev = _counts(row["pair_counts"])
+            pair = (pair_train - pair_dev)[place]
+            context = rest[c.context]
+            p1 = rest[c.tokens] / max(1, n_train - n_dev)
+            p2 = np.where(context > 0, pair / np.maximum(context, 1), 0)
+            p0 = 1 / (n_words + 1)
+            cell = (_bucket(context) * 1000 + _bins(p1, p0) + 1) * 1000 + _bins(p2, p0) + 1
+            cells, n = np.unique(cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     return map_arrow(joined, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
@@ -293,29 +299,28 @@ SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _scores(joined: DataFrame, weights: np.ndarray, n_train: int, n_words: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row)
-                count, _ = _counts(row["word_counts"])
-                _, place = c.bigrams()
-                pair = _counts(row["pair_counts"])[0][place]
-                own, context = count[c.tokens], count[c.context]
-                w = weights[_bucket(context)]
-                p = w[:, 0] / (n_words + 1) + w[:, 1] * own / max(1, n_train) + w[:, 2] * pair / np.maximum(context, 1)
-                base = np.log10(own + 1) - np.log10(n_train + n_words + 1)
-                add = lambda x: np.add.reduceat(x, c.starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c.ids, pa.int64()),
-                        pa.array(c.held, pa.bool_()),
-                        pa.array(c.sizes),
-                        pa.array(add((own > 0).astype(np.int64))),
-                        pa.array(np.full(len(c.sizes), n_train)),
-                        pa.array(add(base)),
-                        pa.array(add(np.log10(p))),
-                    ],
-                    names=[x.split()[0] for x in SCORED.split(", ")],
-                )
+        for row in _rows(batches):
+            c = Chunk(row)
+            count, _ = _counts(row["word_counts"])
+            _, place = c.bigrams()
+            pair = _counts(row["pair_counts"])[0][place]
+            own, context = count[c.tokens], count[c.context]
+            w = weights[_bucket(context)]
+            p = w[:, 0] / (n_words + 1) + w[:, 1] * own / max(1, n_train) + w[:, 2] * pair / np.maximum(context, 1)
+            base = np.log10(own + 1) - np.log10(n_train + n_words + 1)
+            add = lambda x: np.add.reduceat(x, c.starts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c.ids, pa.int64()),
+                    pa.array(c.held, pa.bool_()),
+                    pa.array(c.sizes),
+                    pa.array(add((own > 0).astype(np.int64))),
+                    pa.array(np.full(len(c.sizes), n_train)),
+                    pa.array(add(base)),
+                    pa.array(add(np.log10(p))),
+                ],
+                names=[x.split()[0] for x in SCORED.split(", ")],
+            )
 
     return map_arrow(joined, run, SCORED)
 

@@ -28,14 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship
-from .common import materialise, with_size_checked
+from .common import materialise, small_batches, with_size_checked
 from .graph import components
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-LEVEL_SHIFT = np.uint64(56)
 BLOCK = 512
-_CHUNK_BYTES = 4 << 20
+_CHUNK_BYTES = 1 << 20
 _MOST_CACHED = 300_000
 
 _A, _B, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
@@ -52,9 +51,11 @@ class WordHashes(dict):
     """64-bit hash of each word seen, cleared when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _MOST_CACHED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > _MOST_CACHED:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -77,7 +78,7 @@ def shingles(text: bytes | None, cache: WordHashes, words: int) -> np.ndarray:
 
 
 def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
-    """SuperMinHash signatures (len(sets), slots) of hash sets.
+    """SuperMinHash signatures (len(sets), slots) of hash sets; at most 255 slots.
 
     Every element walks through its own random permutation of the slots. At
     step j it offers the value j + r, r in [0, 1), to the slot at place j of
@@ -104,13 +105,13 @@ def super_minhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
             perm[lines, pick] = perm[:, j]
             perm[:, j] = place
         np.minimum.at(flat, owner * slots + place, value)
-        live = (sig >= np.uint64((j + 1) << 56) if j + 1 < 256 else np.zeros_like(sig, dtype=bool)).any(1) & (sizes > 0)
+        live = (sig >= np.uint64((j + 1) << 56)).any(1) & (sizes > 0)
         stay = live[owner]
         if not stay.any():
             break
         if j == 0:
             elem, owner, pick = elem[stay], owner[stay], pick[stay]
-            perm = np.tile(np.arange(slots, dtype=np.int16), (len(elem), 1))
+            perm = np.tile(np.arange(slots, dtype=np.uint8), (len(elem), 1))
             perm[np.arange(len(elem)), pick] = 0
             perm[:, 0] = pick
         elif stay.sum() < 0.7 * len(stay):
@@ -144,7 +145,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 1, _CHUNK_BYTES):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _chunks(texts):
                 sets = [shingles(t, cache, words) for t in texts[a:b]]
@@ -188,7 +189,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches, 2, 4 * _CHUNK_BYTES):
             at = batch.column(1).to_numpy(zero_copy_only=False)
             hit = np.flatnonzero(held.value[at >> 5] >> (at & 31).astype(np.uint64) & np.uint64(1))
             ids, data = batch.column(0).take(pa.array(hit)), batch.column(2).take(pa.array(hit)).to_pylist()
@@ -217,7 +218,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2, 4 * _CHUNK_BYTES):
             rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             hit = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))

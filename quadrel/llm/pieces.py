@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
+from .common import small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Fixed values of the model file format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-_MOST_CACHED = 400_000
+#: Words and pairs of pieces remembered per worker, at most, and the longest such word: some 150 MB.
+_MOST_CACHED, _LONGEST_CACHED = 500_000, 64
 
 
 def _fields(data: bytes):
@@ -155,10 +157,12 @@ class Transducer:
 
     def joins(self, before: int, piece: int) -> bool:
         """Finite weight of an arc for ``piece`` after ``before`` (-1: the start, -2: a character without a piece)."""
-        key = (before, piece)
+        key = (before + 2) * len(self.pieces) + piece
         found = self._pairs.get(key)
         if found is None:
             left = self.pieces[before] if before >= 0 else ""
+            if len(self._pairs) >= _MOST_CACHED:
+                self._pairs.clear()
             self._pairs[key] = found = self._merges_apart(left, self.pieces[piece])
         return found
 
@@ -208,7 +212,8 @@ class Transducer:
             found = np.array(self.shortest_path(word), dtype="<u4").tobytes()
             if len(self._words) >= _MOST_CACHED:
                 self._words.clear()
-            self._words[word] = found
+            if len(word) <= _LONGEST_CACHED:
+                self._words[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -268,7 +273,7 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text
     held = _sent(docs, path)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1, 2 << 20):
             coded = [None if t is None else held.value.encode(t) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(c or b"") // 4 for c in coded])
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32(), mask=np.array([c is None for c in coded] + [False]))
@@ -300,7 +305,7 @@ def encoded_digests(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_
     held = _sent(docs, path)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1, 2 << 20):
             rows = []
             for text in batch.column(1).to_pylist():
                 coded = held.value.encode(text or "")
