@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import materialise
+from .common import materialise, small_batches
 
 RATE, FRAME, HOP = 4000, 1024, 256
 CLASSES = 12
@@ -161,7 +161,7 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> DataFram
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             items = []
             for data in batch.column(1).to_pylist():
                 rate, samples = decode_wav(data)
@@ -181,30 +181,33 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> DataFram
 
 
 def _positions(classes: DataFrame, id_name: str, at_name: str) -> DataFrame:
-    """One row per recording and item: (item, id, first place of the item)."""
+    """One row per recording and key: (key, id, first place of the key). A key is two items that follow each other."""
 
     def run(batches):
         for batch in batches:
             for rec, data in zip(*(c.to_pylist() for c in batch.columns)):
-                items, place = np.unique(np.frombuffer(data, "<u4"), return_index=True)
+                items = np.frombuffer(data, "<u4").astype(np.int64)
+                keys, place = np.unique(items[:-1] << 32 | items[1:], return_index=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(items.astype(np.int64)), pa.array(np.full(len(items), rec)), pa.array(place.astype(np.int32))],
-                    names=["item", id_name, at_name],
+                    [pa.array(keys), pa.array(np.full(len(keys), rec)), pa.array(place.astype(np.int32))], names=["key", id_name, at_name]
                 )
 
-    return map_arrow(classes.select("rec_id", "items"), run, f"item long, {id_name} long, {at_name} int")
+    return map_arrow(classes.select("rec_id", "items"), run, f"key long, {id_name} long, {at_name} int")
 
 
 def align(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, rec_id, offset, overlap, bit_error): the best alignment of each query class with each other class.
 
-    The index holds every class. An offset that at least two equal items
-    agree on is a candidate; the most frequent one of a pair is verified.
+    The index holds every class. Every two recordings that share a key are
+    candidates, at the offset that most of their shared keys agree on, and
+    that alignment is verified on all items. Single items would meet by
+    chance so often that candidates grow with the square of the input; two
+    in a row rarely do.
     """
     index, asked = _positions(classes, "rec_id", "at"), _positions(queries, "query", "asked_at")
-    hits = asked.join(index, "item").where("query != rec_id")
+    hits = asked.join(index, "key").where("query != rec_id")
     histogram = hits.groupBy("query", "rec_id", (F.col("at") - F.col("asked_at")).alias("offset")).agg(F.count("*").alias("n"))
-    offsets = histogram.where("n >= 2").groupBy("query", "rec_id").agg(F.max(F.struct("n", "offset")).alias("top"))
+    offsets = histogram.groupBy("query", "rec_id").agg(F.max(F.struct("n", "offset")).alias("top"))
     left = classes.select(F.col("rec_id").alias("query"), F.col("items").alias("a"))
     right = classes.select("rec_id", F.col("items").alias("b"))
     joined = offsets.join(left, "query").join(right, "rec_id").select("query", "rec_id", F.col("top.offset").alias("offset"), "a", "b")
