@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship
-from .common import materialise
+from .common import materialise, small_batches
 from .urls import _parts
 
 # Element names and the words of class, id and role that mark their kind.
@@ -34,8 +34,11 @@ BLOCK = frozenset(
     " tfoot th thead title tr ul".split()
 )
 CONTAINER = frozenset(
-    "article aside body details dialog div dl fieldset figure footer form head header hgroup html main menu nav ol section span table title ul".split()
+    "article aside blockquote body dd details dialog div dl dt fieldset figure footer form head header hgroup html li main menu nav ol"
+    " section span table tbody td tfoot th thead title tr ul".split()
 )
+# Elements that end where one of these begins.
+ENDED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption caption br".split())
 BOILER_TAGS = frozenset("head title nav footer aside form dialog menu".split())
 BOILER_WORDS = frozenset(
@@ -46,6 +49,7 @@ BOILER_WORDS = frozenset(
     " widget".split()
 )
 BOILER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+PART_WORDS = frozenset("header heading title meta image thumbnail".split())
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 
 TAG = re.compile(
@@ -69,13 +73,15 @@ def _kind(name: str, attributes: str, inside: int) -> int:
     if name not in ("html", "body"):
         bad = words & BOILER_WORDS
         if inside == MAIN_OTHER or name in ("article", "main"):
-            bad -= {"header", "form", "content"}
+            bad -= {"header", "form"}
+        if words & MAIN_WORDS:
+            bad -= {"header"}
         if bad or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
             return BOILER
         if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return BOILER
     marked = name in ("article", "main") or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
-    if marked or inside == NEUTRAL and name in ("div", "section") and words & MAIN_WORDS:
+    if marked or inside == NEUTRAL and name in ("div", "section") and words & MAIN_WORDS and not words & PART_WORDS:
         return MAIN_OTHER
     return inside
 
@@ -83,13 +89,13 @@ def _kind(name: str, attributes: str, inside: int) -> int:
 def lines(page: str) -> list[tuple[str, int]]:
     """(text, kind) of the blocks of a page that hold text, in order."""
     out, parts, stack = [], [], [("", NEUTRAL)]
-    at, prose = 0, False
+    at, prose, own = 0, False, None
 
     def close():
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                kind = stack[-1][1]
+                kind = stack[-1][1] if own is None else own
                 out.append((text, MAIN_PROSE if kind == MAIN_OTHER and prose else kind))
             parts.clear()
 
@@ -111,6 +117,10 @@ def lines(page: str) -> list[tuple[str, int]]:
         if name in BLOCK:
             close()
             prose = name in PROSE and (not m[1] or name == "br")
+            # A paragraph may be marked as well; its kind holds up to the next block.
+            own = None if m[1] or name in CONTAINER or "=" not in m[3] else _kind(name, m[3], stack[-1][1])
+            while not m[1] and len(stack) > 1 and stack[-1][0] in ENDED_BY.get(name, ()):
+                stack.pop()
         if name in CONTAINER:
             if m[1]:
                 for k in range(len(stack) - 1, 0, -1):
@@ -182,7 +192,7 @@ def main_text(page_lines: list[tuple[str, int]], shared: bytes) -> str:
 
 def _line_hashes(pages: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             packed = [
                 np.array([xxhash.xxh3_64_intdigest(t) for t, _ in lines(p or "")], np.uint64).tobytes() for p in batch.column(3).to_pylist()
             ]
@@ -287,7 +297,7 @@ def page_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     joined = keyed.join(shared.hint("merge"), F.col("key") == F.col("shared_key")).select("page_id", "url", "html", "shared")
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             texts = [main_text(lines(p or ""), s) for p, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
+from .common import small_batches
 from .mixing import row_hash
 
 # Fixed values of the scan's contract: kinds in order, with their patterns and least lengths.
@@ -118,19 +119,57 @@ def random_samples(n: int = 20000, seed: int = 7) -> list[str]:
     return ["".join(rng.choices(alphabets[i % 4], k=rng.randint(16, 64))) for i in range(n)]
 
 
+# Common parts of names in programs and addresses.
+NAME_PARTS = (
+    "abstract account action address admin application array async base buffer builder bytes cache channel check client code column command config"
+    " connection content context count create data date default delete detail document encoded error event factory field file filter find first form"
+    " format function get group handler header html http identifier image index info input instance item json key label last length level line link list"
+    " load local location log manager map max message method min mode model module name network node number object offset option order output package page"
+    " parameter parse password path pattern payment position process profile project property proxy query queue read record request resource response result"
+    " root row rule save schema search section select send server service session set setting singleton size source stack start state status stream string"
+    " style system table tag target task template test text thread time timeout title token total transaction tree type update url user util value version"
+    " view volume web width window word work write www xml"
+).split()
+
+
+def generated_samples(n: int = 8000, seed: int = 13) -> list[str]:
+    """Labelled ordinary identifiers made by rule: compound names, numbers in groups, rulers of one sign."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        parts = rng.choices(NAME_PARTS, k=rng.randint(2, 5))
+        style = i % 5
+        if style == 0:
+            name = parts[0] + "".join(p.capitalize() for p in parts[1:])
+        elif style == 1:
+            name = "".join(p.capitalize() for p in parts)
+        else:
+            name = ("_", "-", "/")[i % 3].join(parts)
+            name = name.upper() if style == 2 else name
+        out.append(name + (str(rng.randrange(3000)) if i % 7 == 0 else ""))
+    for i in range(n // 4):
+        groups = ["".join(rng.choices(string.digits, k=rng.choice((2, 3, 4, 4, 8, 16)))) for _ in range(rng.randint(1, 6))]
+        out.append(rng.choice(("-", "/", "", "_")).join(groups))
+        out.append(rng.choice(CHARS) * rng.randint(12, 60))
+    rng.shuffle(out)
+    return out
+
+
 def ordinary_samples(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     """Labelled ordinary identifiers: words of a bounded sample of documents, single and joined.
 
     The sample is the ``SAMPLE_DOCS`` documents with the lowest id hash, and
-    ``SAMPLE_WORDS`` words of each that hold no base match.
+    ``SAMPLE_WORDS`` words of each. Ordinary are words of letters alone that
+    are in one case but for their first letter, which leaves out unknown
+    secrets of mixed signs.
     """
     keyed = docs.select(row_hash(F.col(id_col)).alias("h"))
     cut = [r["h"] for r in keyed.orderBy("h").limit(SAMPLE_DOCS).collect()]
     if not cut:
         return []
-    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[A-Za-z0-9_-]{3,40}"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\b(?:[A-Za-z][a-z]{2,39}|[A-Z]{3,40})\b"), F.lit(0)))
     rows = docs.where(row_hash(F.col(id_col)) <= cut[-1]).select(F.slice(words, 1, SAMPLE_WORDS).alias("w")).limit(SAMPLE_DOCS)
-    found = sorted({w for r in rows.collect() for w in r["w"] if not base_spans(w) and not w.isdigit()})
+    found = sorted({w for r in rows.collect() for w in r["w"] if not base_spans(w)})
     rng = random.Random(11)
     rng.shuffle(found)
     joined = [s.join(p) for s, p in zip(rng.choices(("_", "-", "", "/"), k=len(found)), zip(found[::2], found[1::2]))]
@@ -139,7 +178,7 @@ def ordinary_samples(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
-    return SecretModel.train(random_samples(), ordinary_samples(docs, id_col, text_col))
+    return SecretModel.train(random_samples(), generated_samples() + ordinary_samples(docs, id_col, text_col))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -169,7 +208,7 @@ def scan(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_i
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             found = [held.value.spans(t or "") for t in batch.column(1).to_pylist()]
             bases = [[s for s in f if s[2] < 3] for f in found]
             count = [[sum(s[2] == k for s in b) for b in bases] for k in range(3)]
@@ -192,7 +231,7 @@ def redacted(docs: DataFrame, model: SecretModel | None = None, id_col: str = "d
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, at):
             texts = [t and redact(t, held.value.spans(t)) for t in batch.column(at).to_pylist()]
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)

@@ -140,6 +140,8 @@ def test_markup():
     assert text_of("<article><p>kept</p><aside>side</aside><form>f</form><div class='share-bar'>s</div></article>") == "kept"
     assert text_of("<main><header><h1>Title</h1></header><p>body</p><section id='comments'><p>no</p></section></main>") == "Title body"
     assert text_of("<header>site</header><p>plain &lt;text&gt; a < b</p><div class='cookie-notice'>ok?</div>") == "plain <text> a < b"
+    assert text_of("<article><p class='lead'>a<p class='notice'>no</p>b<ul class='comment-list'><li class='c'><p>x</ul><ul><li class='ad'><p>y<li>z</ul></article>") == "a b z"
+    assert text_of("<div class='entry-header'>Top</div><div class='site-header'>Site</div><table><tr><td class='ad'>q<td>w</table>") == "Top w"
     assert text_of("<article><p>unclosed <b>tags") == "unclosed tags"
     assert text_of("") == "" and text_of("<nav>only</nav>") == ""
     assert text_of("<p>x<!-- open") == "x" and text_of("<p>y<script>never closed <p>z") == "y"
@@ -247,7 +249,7 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     rows += [(300, rows[5][1], "en", "s1"), (301, rows[6][1] + " tail", "en", "s2"), (302, prose(302) + " token=0123456789abcdef01", "en", "s0")]
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    labels = [(i, int(i < 200)) for i, *_ in rows]
+    labels = [(i, int(i < 200 or i >= 300)) for i, *_ in rows]
     spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     frames, docs = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
