@@ -31,8 +31,8 @@ SPACE = "▁"
 # Fixed values of the model file format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words and pairs of pieces remembered per worker, at most, and the longest such word: some 150 MB.
-_MOST_CACHED, _LONGEST_CACHED = 500_000, 64
+#: Words in each of two tables and pairs of pieces remembered per worker, at most, and the longest such word: some 150 MB.
+_MOST_CACHED, _LONGEST_CACHED = 300_000, 64
 
 
 def _fields(data: bytes):
@@ -111,6 +111,7 @@ class Transducer:
         self.is_byte = np.array([t == BYTE for t in self.types])
         self._pairs: dict = {}
         self._words: dict = {}
+        self._older: dict = {}
 
     def _bytes_of(self, i: int) -> bytes:
         if self.types[i] == BYTE:
@@ -120,7 +121,7 @@ class Transducer:
         return " ⁇ ".encode() if self.types[i] == UNKNOWN else self.pieces[i].encode()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("tree", "_pairs", "_words", "texts")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("tree", "_pairs", "_words", "_older", "texts")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -172,16 +173,24 @@ class Transducer:
         if self.kind == BPE:
             last, origin = [None] * (n + 1), [0] * (n + 1)
             last[0] = -1
+            tree, known, width = self.tree, self._pairs.get, len(self.pieces)
             for i in range(n):
                 before = last[i]
-                node, j, single = self.tree, i, False
-                while j < n and (node := node.get(text[j])) is not None:
+                row = (before + 2) * width
+                node, j, single = tree, i, False
+                while j < n:
+                    node = node.get(text[j])
+                    if node is None:
+                        break
                     j += 1
                     piece = node.get("")
                     if piece is not None:
-                        single |= j == i + 1
-                        if last[j] is None and self.joins(before, piece):
-                            last[j], origin[j] = piece, i
+                        if j == i + 1:
+                            single = True
+                        if last[j] is None:
+                            fits = known(row + piece)
+                            if self.joins(before, piece) if fits is None else fits:
+                                last[j], origin[j] = piece, i
                 if not single and last[i + 1] is None:
                     last[i + 1], origin[i + 1] = -2, i
         else:
@@ -209,9 +218,12 @@ class Transducer:
         """Encoded ids of one word of the normalised text, remembered while there is room."""
         found = self._words.get(word)
         if found is None:
-            found = np.array(self.shortest_path(word), dtype="<u4").tobytes()
+            found = self._older.get(word)
+            if found is None:
+                found = np.array(self.shortest_path(word), dtype="<u4").tobytes()
             if len(self._words) >= _MOST_CACHED:
-                self._words.clear()
+                # What is not asked for again while the new table fills is forgotten.
+                self._words, self._older = {}, self._words
             if len(word) <= _LONGEST_CACHED:
                 self._words[word] = found
         return found
