@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship
@@ -212,11 +212,12 @@ def _near(path: str, other: str) -> int:
 
 
 def _shared(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """(key, shared) of one run of the ordered pages; ``edges`` has the pages just before and after it."""
+    """(key, shared) of one run of the ordered pages; ``edges`` has the pages before (sides -2, -1) and after it (1, 2)."""
     rows = rows.sort_values(["host", "path", "key"], kind="stable")
     got = list(zip(rows["host"], rows["path"], rows["lines"]))
-    before, after = (edges[["host", "path", "lines"]][edges["side"] == s].itertuples(index=False, name=None) for s in (-1, 1))
-    got = [*(before := list(before)), *got, *after]
+    edges = edges.sort_values("side")
+    before, after = (list(edges[["host", "path", "lines"]][at].itertuples(index=False, name=None)) for at in (edges["side"] < 0, edges["side"] > 0))
+    got = [*before, *got, *after]
     n, first = len(got), len(before)
 
     def nearest(order):
@@ -246,12 +247,35 @@ def _shared(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": rows["key"].to_numpy(), "shared": flags})
 
 
+def _outer(parts: list, other: int) -> dict:
+    """{part: keys of the two pages that its pages see beyond its edge}, nearest first, for parts in the order of the walk.
+
+    ``parts`` has (part, near edge, far edge, others) with pages as rows of
+    key, host and digest. The first page is the far edge of the part passed
+    last; the second is the last one passed on the same host with other
+    lines, however many parts of copies lie in between.
+    """
+    out, first, second = {}, None, None
+    for part, near, far, others in parts:
+        out[part] = [p["key"] for p in (first, second) if p is not None]
+        if others[other] is not None:
+            second = others[other]
+        elif first is None or near["host"] != far["host"] or first["host"] != far["host"]:
+            second = None
+        elif first["digest"] != far["digest"]:
+            second = first
+        first = far
+    return out
+
+
 def _differences(hashes: DataFrame, per_part: int = 20_000) -> DataFrame:
     """(key, shared) for every page, from its nearest neighbour by URL path within its host.
 
     Pages are range-partitioned by host, path and key, so a host of any size
-    spreads over many tasks; each task also gets the two pages next to its
-    range, which are two rows per partition.
+    spreads over many tasks. Each task also gets, on either side of its
+    range, the next page and the next one on that page's host with other
+    lines, which are four rows per partition; the driver finds them from the
+    hosts and digests of four pages of each partition.
     """
     unique = hashes.dropDuplicates(["key"])
     spark = hashes.sparkSession
@@ -259,15 +283,21 @@ def _differences(hashes: DataFrame, per_part: int = 20_000) -> DataFrame:
     ranged = materialise(
         unique.repartitionByRange(parts, "host", "path", "key").withColumn("part", F.spark_partition_id()), "ranged"
     )
-    page, order = F.struct("host", "path", "key", "lines"), F.struct("host", "path", "key")
+    digest = F.sha2("lines", 256)
+    page, order = F.struct("key", "host", digest.alias("digest")), F.struct("host", "path", "key")
     ends = ranged.groupBy("part").agg(F.min_by(page, order).alias("low"), F.max_by(page, order).alias("high"))
-    by_part = Window.orderBy("part")
-    sides = ends.select("part", F.lag("high").over(by_part).alias("low"), F.lead("low").over(by_part).alias("high"))
-    edges = (
-        sides.select("part", F.explode(F.array(F.struct(F.lit(-1).alias("side"), F.col("low").alias("page")), F.struct(F.lit(1).alias("side"), F.col("high").alias("page")))).alias("e"))
-        .where("e.page is not null")
-        .select("part", "e.side", "e.page.host", "e.page.path", "e.page.lines")
-    )
+    found = {r["part"]: (r["low"], r["high"]) for r in ends.collect()}
+    marks = [(k, low["host"], low["digest"], high["host"], high["digest"]) for k, (low, high) in found.items()]
+    ended = F.broadcast(spark.createDataFrame(marks, "part int, low_host string, low_digest string, high_host string, high_digest string"))
+    unlike = lambda end: F.when((F.col("host") == F.col(f"{end}_host")) & (digest != F.col(f"{end}_digest")), order)
+    others = ranged.join(ended, "part").groupBy("part").agg(F.min_by(page, unlike("low")).alias("low"), F.max_by(page, unlike("high")).alias("high"))
+    other = {r["part"]: (r["low"], r["high"]) for r in others.collect()}
+    rising = sorted(found)
+    before = _outer([(k, *found[k], other[k]) for k in rising], 1)
+    after = _outer([(k, *found[k][::-1], other[k]) for k in rising[::-1]], 0)
+    wanted = [(k, step * (i + 1), key) for step, side in ((-1, before), (1, after)) for k, keys in side.items() for i, key in enumerate(keys)]
+    asked = F.broadcast(spark.createDataFrame(wanted, "for_part int, side int, key long"))
+    edges = ranged.join(asked, "key").select(F.col("for_part").alias("part"), "side", *[F.col(c).alias(c) for c in ("host", "path", "lines")])
     ship(spark)
     return ranged.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(_shared, "key long, shared binary")
 

@@ -170,6 +170,18 @@ def test_shared_paragraphs_of_marked_articles_stay(spark):
     assert {r["page_id"]: r["text"] for r in html_text.page_text(df).collect()} == {i: f"Same words. Part {i}" for i in range(8)}
 
 
+def test_copies_beyond_a_partition_are_differenced(spark):
+    page = lambda k: f"<div>Site name</div><div>Menu</div><p>Story {k}.</p>"
+    rows = [(0, "http://c.net/a", page("a"))] + [(i, f"http://c.net/b/{i:03}", page("b")) for i in range(1, 60)] + [(60, "http://c.net/c", page("c"))]
+    rows += [(100 + i, f"http://d.net/{i:03}", page("d")) for i in range(60)] + [(160, "http://d.net/e", page("e"))]
+    rows += [(200 + i, f"http://e.net/{i:03}", page("f")) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html_text.page_text(df).collect()}
+    assert all(out[i] == f"Story {k}." for i, k in [(0, "a"), (60, "c"), (160, "e")])
+    assert {out[i] for i in range(1, 60)} == {"Story b."} and {out[100 + i] for i in range(60)} == {"Story d."}
+    assert {out[200 + i] for i in range(20)} == {"Site name Menu Story f."}
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(4)
 
