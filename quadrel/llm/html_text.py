@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -143,28 +144,67 @@ def lines(page: str) -> list[tuple[str, int]]:
     return out
 
 
+def _prefix_lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with each prefix of ``b``, one bit per line (Hyyro)."""
+    at: dict = {}
+    for j, h in enumerate(b):
+        at.setdefault(h, []).append(j)
+    masks = {}
+    for h in set(a) & at.keys():
+        flags = np.zeros(len(b), np.uint8)
+        flags[at[h]] = 1
+        masks[h] = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+    whole = (1 << len(b)) - 1
+    rest = whole
+    for h in a:
+        if h in masks:
+            both = rest & masks[h]
+            rest = (rest + both | rest - both) & whole
+    bits = np.frombuffer(rest.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate(([0], np.cumsum(1 - np.unpackbits(bits, bitorder="little")[: len(b)].astype(np.int64))))
+
+
 def common_lines(a: np.ndarray, b: np.ndarray, most: int = 2_000_000) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of two lists of line hashes (Hunt and Szymanski).
+    """Places in ``a`` of a longest common subsequence of two lists of line hashes.
 
-    If equal lines would give over ``most`` pairs, each line pairs only with
-    its own occurrence of the same rank; the result is then a common
-    subsequence that may be shorter than the longest.
+    Hunt and Szymanski's method where equal lines give at most ``most``
+    pairs. Other lists are halved first, where Hirschberg's method says that
+    the halves' subsequences add up to a longest one of the whole, so memory
+    stays bounded at every size.
     """
+    return _common(a.tolist(), b.tolist(), most)
+
+
+def _common(wanted: list, other: list, most: int) -> list[int]:
+    count = Counter(other)
+    if len(wanted) == 1:
+        return [0] if wanted[0] in count else []
+    if sum(count[h] for h in wanted) <= most:
+        return _by_pairs(wanted, other)
+    if len(other) == 1:
+        return [wanted.index(other[0])]
+    low, high = 0, min(len(wanted), len(other))
+    while low < high and wanted[low] == other[low]:
+        low += 1
+    tail = 0
+    while tail < high - low and wanted[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    if low or tail:
+        inner = _common(wanted[low : len(wanted) - tail], other[low : len(other) - tail], most)
+        return [*range(low), *(low + i for i in inner), *range(len(wanted) - tail, len(wanted))]
+    half = len(wanted) // 2
+    total = _prefix_lengths(wanted[:half], other) + _prefix_lengths(wanted[half:][::-1], other[::-1])[::-1]
+    cut = int(total.argmax())
+    return _common(wanted[:half], other[:cut], most) + [half + i for i in _common(wanted[half:], other[cut:], most)]
+
+
+def _by_pairs(wanted: list, other: list) -> list[int]:
     places: dict = {}
-    for j, h in enumerate(b.tolist()):
+    for j, h in enumerate(other):
         places.setdefault(h, []).append(j)
-    wanted = a.tolist()
-    ranked = sum(len(places.get(h, ())) for h in wanted) > most
-    seen: dict = {}
     ends, chains = [], []
     for i, h in enumerate(wanted):
-        found = places.get(h)
-        if not found:
-            continue
-        if ranked:
-            k = seen[h] = seen.get(h, -1) + 1
-            found = found[k : k + 1]
-        for j in reversed(found):
+        for j in reversed(places.get(h, ())):
             k = bisect_left(ends, j)
             chain = (i, chains[k - 1] if k else None)
             if k == len(ends):

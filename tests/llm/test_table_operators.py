@@ -198,6 +198,19 @@ def test_common_lines_is_a_longest_common_subsequence():
         assert len(found) == length(a, b) and found == sorted(set(found))
 
 
+def test_common_lines_of_many_equal_lines():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(40))] for _ in "ab")
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        found = html_text.common_lines(a, b, most=rng.choice((0, 5, 60)))
+        assert found == sorted(set(found)) and len(found) == len(html_text.common_lines(a, b))
+        rest = iter(b.tolist())
+        assert all(x in rest for x in a[found].tolist())
+    a, b = np.array([0] * 20 + [1, 2] + [0] * 1500, np.uint64), np.array([1, 2] + [0] * 1500, np.uint64)
+    assert html_text.common_lines(a, b) == [*range(20, 1522)]
+
+
 # --- audio
 
 
