@@ -60,14 +60,15 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s/>])""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-NEUTRAL, MAIN_PROSE, MAIN_OTHER, BOILER = 0, 1, 2, 3
+#: WORDED lines are boilerplate by a class word alone.
+NEUTRAL, MAIN_PROSE, MAIN_OTHER, BOILER, WORDED = 0, 1, 2, 3, 4
 
 
 def _kind(name: str, attributes: str, inside: int) -> int:
     """Kind of an element's lines, given that of what it stands in: MAIN_OTHER stands for the whole article."""
     if inside == BOILER:
         return BOILER
-    if name in BOILER_TAGS or name == "header" and inside == NEUTRAL:
+    if name in BOILER_TAGS or name == "header" and inside in (NEUTRAL, WORDED):
         return BOILER
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if "=" in attributes or "hidden" in attributes else {}
     words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
@@ -77,12 +78,16 @@ def _kind(name: str, attributes: str, inside: int) -> int:
             bad -= {"header", "form"}
         if words & MAIN_WORDS:
             bad -= {"header"}
-        if bad or found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        if found.get("role", "").lower() in BOILER_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
             return BOILER
         if re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
             return BOILER
-    marked = name in ("article", "main") or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody"
-    if marked or inside == NEUTRAL and name in ("div", "section") and words & MAIN_WORDS and not words & PART_WORDS:
+        # The page's one main element is no boilerplate by what its class says.
+        if name == "main" or found.get("role", "").lower() == "main" or found.get("itemprop", "").lower() == "articlebody":
+            return MAIN_OTHER
+        if bad:
+            return WORDED
+    if name == "article" or inside == NEUTRAL and name in ("div", "section") and words & MAIN_WORDS and not words & PART_WORDS:
         return MAIN_OTHER
     return inside
 
@@ -223,7 +228,9 @@ def main_text(page_lines: list[tuple[str, int]], shared: bytes) -> str:
     """The article, given which lines (1) the nearest page shares."""
     marked = any(k in (MAIN_PROSE, MAIN_OTHER) for _, k in page_lines)
     if not marked:
-        return " ".join(t for (t, k), s in zip(page_lines, shared) if k == NEUTRAL and not s)
+        plain = [(t, k) for (t, k), s in zip(page_lines, shared) if k in (NEUTRAL, WORDED) and not s]
+        # Where class words would leave nothing, they name a wrapper of the page; then only differencing counts.
+        return " ".join(t for t, k in plain if k == NEUTRAL) or " ".join(t for t, _ in plain)
     main = [(t, k, s) for (t, k), s in zip(page_lines, shared) if k in (MAIN_PROSE, MAIN_OTHER)]
     # A neighbour that shares most of the article is a copy of it, not a site's frame.
     copy = 2 * sum(len(t) for t, _, s in main if s) > sum(len(t) for t, _, _ in main)

@@ -147,6 +147,17 @@ def test_markup():
     assert text_of("<p>x<!-- open") == "x" and text_of("<p>y<script>never closed <p>z") == "y"
 
 
+def test_class_words_of_wrappers_leave_the_article():
+    assert text_of("<div class='content-sidebar-wrap'><main><p>Story</p></main><div class='sidebar'>side</div></div>") == "Story"
+    assert text_of("<div class='search-page'><div role='main'><p>Story</p><p class='notice'>no</p></div></div>") == "Story"
+    assert text_of("<div id='social-news'><article><p>Story</p><div class='share'>no</div></article></div>") == "Story"
+    assert text_of("<div class='widget'><div itemprop='articleBody'>Story</div></div>") == "Story"
+    assert text_of("<main class='has-sidebar'><p>Story</p><div class='related'>no</div></main>") == "Story"
+    assert text_of("<div class='has-sidebar'><nav>Menu</nav><p>Story</p></div>") == "Story"
+    assert text_of("<p>Site</p><div class='has-sidebar'><p>Story</p></div>", bytes([1, 0])) == "Story"
+    assert text_of("<nav class='menu'><article>no</article></nav><div class='comments'><article class='comment'>no</article></div><p>Story</p>") == "Story"
+
+
 def test_pages_without_marks_are_differenced(spark):
     page = lambda k: f"<div>Site name</div><div>Menu</div><p>Story {k} begins.</p><p>And {k} ends.</p><div>All rights</div>"
     rows = [(i, f"http://h.net/a/{i}", page(i)) for i in range(30)]
