@@ -3,9 +3,8 @@
 A recording is cut into overlapping frames, and each frame's spectrum is
 folded into twelve pitch classes. Sixteen filters, each comparing two sums
 of a window of this image (read from its integral image), give two bits each:
-32 bits for every position. Recordings are aligned by histograms of the
-offsets at which they hold equal integers, and an alignment counts if few
-bits differ over the overlap.
+32 bits for every position. Recordings are aligned at every offset, and an
+alignment counts if few bits differ over the overlap.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ WIDTH = 8
 #: An alignment: at least so many positions overlap, with at most this share of different bits.
 LEAST_OVERLAP, MOST_ERRORS = 16, 0.10
 QUERY_MODULUS = 50
+#: What a row of packed recordings holds, at most (a longer recording is a row of its own).
+BLOCK_ROWS, BLOCK_BYTES = 1024, 1 << 20
 
 
 def decode_wav(data: bytes | None) -> tuple[int, np.ndarray]:
@@ -180,52 +181,108 @@ def fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> DataFram
     return map_arrow(rows, run, "rec_id long, n_items long, digest binary, items binary")
 
 
-def _positions(classes: DataFrame, id_name: str, at_name: str) -> DataFrame:
-    """One row per recording and key: (key, id, first place of the key). A key is two items that follow each other."""
+def _blocks(classes: DataFrame, prefix: str) -> DataFrame:
+    """Recordings packed in rows of at most ``BLOCK_ROWS`` and about ``BLOCK_BYTES``: (ids, sizes, items)."""
 
     def run(batches):
-        for batch in batches:
-            for rec, data in zip(*(c.to_pylist() for c in batch.columns)):
-                items = np.frombuffer(data, "<u4").astype(np.int64)
-                keys, place = np.unique(items[:-1] << 32 | items[1:], return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(np.full(len(keys), rec)), pa.array(place.astype(np.int32))], names=["key", id_name, at_name]
-                )
+        for batch in small_batches(batches, 1, BLOCK_BYTES):
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                items = part.column(1).to_pylist()
+                sizes = np.array([len(x) // 4 for x in items], np.int32)
+                ids = np.array(part.column(0).to_pylist(), np.int64)
+                packed = [pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), b"".join(items))]
+                yield pa.RecordBatch.from_arrays(packed, names=[f"{prefix}ids", f"{prefix}sizes", f"{prefix}items"])
+
+    return map_arrow(classes.select("rec_id", "items"), run, ", ".join(f"{prefix}{c} binary" for c in ("ids", "sizes", "items")))
+
+
+def _unpacked(ids: bytes, sizes: bytes, items: bytes) -> list[tuple[int, np.ndarray]]:
+    cuts = np.frombuffer(sizes, np.int32).astype(np.int64).cumsum()[:-1]
+    return list(zip(np.frombuffer(ids, np.int64).tolist(), np.split(np.frombuffer(items, "<u4"), cuts)))
+
+
+def _doubled(items: np.ndarray) -> np.ndarray:
+    """Each item with the next one above it, as 64 bits; zeros follow the last."""
+    after = np.concatenate([items[1:], np.zeros_like(items[:1])])
+    return items.astype(np.uint64) | after.astype(np.uint64) << np.uint64(32)
+
+
+def _columns(recordings: list[tuple[int, np.ndarray]]) -> list[tuple]:
+    """(ids, sizes, doubled items, doubled marks of valid bits) of recordings of like lengths, one column each."""
+    ordered = sorted((r for r in recordings if len(r[1]) >= LEAST_OVERLAP), key=lambda r: len(r[1]))
+    out, at = [], 0
+    while at < len(ordered):
+        stop = at
+        while stop < len(ordered) and len(ordered[stop][1]) <= 1.25 * len(ordered[at][1]):
+            stop += 1
+        group = ordered[at:stop]
+        sizes = np.array([len(x) for _, x in group])
+        items = np.zeros((sizes[-1], len(group)), np.uint32)
+        for k, (_, x) in enumerate(group):
+            items[: len(x), k] = x
+        valid = np.where(np.arange(sizes[-1])[:, None] < sizes, np.uint32(0xFFFFFFFF), np.uint32(0))
+        out.append((np.array([i for i, _ in group]), sizes, _doubled(items), _doubled(valid)))
+        at = stop
+    return out
+
 
-    return map_arrow(classes.select("rec_id", "items"), run, f"key long, {id_name} long, {at_name} int")
+def best_alignments(a: np.ndarray, columns: list[tuple]) -> dict:
+    """{id: (bit error, -overlap, offset)}: the least of all alignments of ``a`` with each recording that count.
+
+    Every offset is tried. Bits that differ in a third of the items all
+    recordings overlap in rule most of them out, being no more than those in
+    all; the rest is compared in full.
+    """
+    best: dict = {}
+    own = _doubled(a)
+    for ids, sizes, items, valid in columns:
+        for offset in range(LEAST_OVERLAP - len(a), int(sizes[-1]) - LEAST_OVERLAP + 1):
+            low, high = max(0, -offset), min(len(a), int(sizes[-1]) - offset)
+            overlap = np.minimum(len(a), sizes - offset) - low
+            most = MOST_ERRORS * 32 * overlap + 1e-6
+            shared = min(len(a), int(sizes[0]) - offset)
+            some = np.bitwise_count(own[low : max(low, shared - 1) : 6, None] ^ items[low + offset : max(low, shared - 1) + offset : 6])
+            left = np.flatnonzero((some.sum(0, dtype=np.uint32) <= most) & (overlap >= LEAST_OVERLAP))
+            if not len(left):
+                continue
+            differ = (own[low:high:2, None] ^ items[low + offset : high + offset : 2, left]) & valid[low + offset : high + offset : 2, left]
+            if (high - low) % 2:
+                differ[-1] &= np.uint64(0xFFFFFFFF)
+            errors = np.bitwise_count(differ).sum(0, dtype=np.int64) / (32 * overlap[left])
+            for k in np.flatnonzero(errors <= MOST_ERRORS).tolist():
+                rec, found = int(ids[left[k]]), (float(errors[k]), -int(overlap[left[k]]), offset)
+                best[rec] = min(best.get(rec, found), found)
+    return best
 
 
 def align(classes: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, rec_id, offset, overlap, bit_error): the best alignment of each query class with each other class.
 
-    The index holds every class. Every two recordings that share a key are
-    candidates, at the offset that most of their shared keys agree on, and
-    that alignment is verified on all items. Single items would meet by
-    chance so often that candidates grow with the square of the input; two
-    in a row rarely do.
+    The best has the lowest bit error, then the longest overlap, then the
+    lowest offset. The search is exact: blocks of queries meet blocks of
+    classes, and every offset of every pair is tried. Its time grows with
+    queries times classes, whatever they hold; no item is hot.
     """
-    index, asked = _positions(classes, "rec_id", "at"), _positions(queries, "query", "asked_at")
-    hits = asked.join(index, "key").where("query != rec_id")
-    histogram = hits.groupBy("query", "rec_id", (F.col("at") - F.col("asked_at")).alias("offset")).agg(F.count("*").alias("n"))
-    offsets = histogram.groupBy("query", "rec_id").agg(F.max(F.struct("n", "offset")).alias("top"))
-    left = classes.select(F.col("rec_id").alias("query"), F.col("items").alias("a"))
-    right = classes.select("rec_id", F.col("items").alias("b"))
-    joined = offsets.join(left, "query").join(right, "rec_id").select("query", "rec_id", F.col("top.offset").alias("offset"), "a", "b")
+    spark = classes.sparkSession
+    # Few and full blocks: the search costs the more for every recording the fewer share a block.
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-classes.count() // BLOCK_ROWS))
+    few = max(1, -(-queries.count() // BLOCK_ROWS))
+    pairs = _blocks(queries.repartition(few), "a_").crossJoin(_blocks(classes.repartition(parts), "b_"))
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for query, rec, offset, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                overlap, errors = bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), offset)
-                if overlap >= LEAST_OVERLAP and errors <= MOST_ERRORS:
-                    rows.append((query, rec, offset, overlap, errors))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=["query", "rec_id", "offset", "overlap", "bit_error"]
-            )
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                asked, columns, rows = _unpacked(*row[:3]), _columns(_unpacked(*row[3:])), []
+                for query, items in asked:
+                    found = best_alignments(items, columns)
+                    rows += [(query, rec, offset, -overlap, error) for rec, (error, overlap, offset) in found.items() if rec != query]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 5, kinds)], names=["query", "rec_id", "offset", "overlap", "bit_error"]
+                )
 
-    return map_arrow(joined, run, "query long, rec_id long, offset int, overlap long, bit_error double")
+    return map_arrow(pairs, run, "query long, rec_id long, offset int, overlap long, bit_error double")
 
 
 def match_recordings(recordings: DataFrame, id_col: str = "rec_id", audio_col: str = "audio") -> DataFrame:

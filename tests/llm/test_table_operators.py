@@ -266,6 +266,56 @@ def test_alignment_recall_against_brute_force(spark):
     assert audio.match_recordings(df.limit(0)).count() == 0
 
 
+def brute_links(prints, queries):
+    found = {}
+    for q in queries:
+        for r in prints.keys() - {q}:
+            a, b = prints[q], prints[r]
+            tried = [(*audio.bit_errors(a, b, o)[::-1], o) for o in range(-len(a), len(b) + 1)]
+            fits = [(e, -n, o) for e, n, o in tried if n >= audio.LEAST_OVERLAP and e <= audio.MOST_ERRORS]
+            if fits:
+                found[q, r] = min(fits)
+    return found
+
+
+def links_of(spark, prints, queries):
+    df = spark.createDataFrame([(i, x.astype("<u4").tobytes()) for i, x in prints.items()], "rec_id long, items binary")
+    out = audio.align(df, df.where(F.col("rec_id").isin(list(queries)))).collect()
+    assert len(out) == len({(r["query"], r["rec_id"]) for r in out})
+    return {(r["query"], r["rec_id"]): (r["bit_error"], -r["overlap"], r["offset"]) for r in out}
+
+
+def test_alignments_up_to_the_most_bit_errors(spark):
+    rng = np.random.default_rng(6)
+    prints = {}
+    for k in range(12):
+        base = rng.integers(0, 2**32, int(rng.integers(10, 70)), dtype=np.uint32)
+        prints[100 * k] = base
+        for j in range(1, 9):
+            flips = np.packbits(rng.random((len(base), 32)) < rng.uniform(0.05, 0.11), axis=1).view(">u4").reshape(-1).astype(np.uint32)
+            lead = rng.integers(0, 2**32, int(rng.integers(0, 9)), dtype=np.uint32)
+            prints[100 * k + j] = np.concatenate([lead, (base ^ flips)[int(rng.integers(0, 9)) :]])
+    queries = {100 * k for k in range(12)}
+    true = brute_links(prints, queries)
+    assert len(true) > 20 and max(e for e, *_ in true.values()) > 0.095
+    assert links_of(spark, prints, queries) == true
+
+
+def test_alignments_of_noisy_tunes_shifted_by_part_hops(spark):
+    rng = np.random.default_rng(7)
+    prints = {}
+    for k in range(15):
+        base = tune(rng, 30)
+        for j in range(8):
+            shift = int(rng.integers(0, 6 * audio.HOP)) if j else 0
+            wave = base[shift:] + rng.normal(0, 0.02 * j, len(base) - shift)
+            prints[10 * k + j] = audio.fingerprint(audio.chroma(audio.decode_wav(audio.encode_wav(wave))[1], audio.RATE))
+    queries = {10 * k for k in range(15)}
+    true = brute_links(prints, queries)
+    assert len(true) > 15 and max(e for e, *_ in true.values()) > 0.08
+    assert links_of(spark, prints, queries) == true
+
+
 def test_rendered_vectors(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, [None, 0.2])], "vec_id long, embedding array<float>")
     found = {r["rec_id"]: r["audio"] for r in audio.rendered(df).collect()}
