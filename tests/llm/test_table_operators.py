@@ -316,6 +316,16 @@ def test_alignments_of_noisy_tunes_shifted_by_part_hops(spark):
     assert links_of(spark, prints, queries) == true
 
 
+def test_alignments_of_repeated_passages(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d = (rng.integers(0, 2**32, n, dtype=np.uint32) for n in (40, 30, 20, 25))
+    whole = lambda *parts: np.concatenate(parts)
+    prints = {0: whole(a, c), 1: whole(a, b, a, c), 2: whole(c, c, c, d), 3: whole(d, c, d, c), 4: np.full(50, 7, np.uint32), 5: np.full(61, 7, np.uint32)}
+    found = links_of(spark, prints, set(prints))
+    assert found == brute_links(prints, set(prints))
+    assert found[0, 1] == (0.0, -60, 70) and found[4, 5] == (0.0, -50, 0)
+
+
 def test_rendered_vectors(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, [None, 0.2])], "vec_id long, embedding array<float>")
     found = {r["rec_id"]: r["audio"] for r in audio.rendered(df).collect()}
