@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models for the rest.
 
 Two second-order Markov models over characters, one of random strings and
-one of ordinary identifiers, are trained from labelled samples. A long token
-that no pattern claims is a secret if its mean log-likelihood ratio is above
-a cut that held-out identifiers stay below.
+one of ordinary identifiers, are trained from labelled samples. What the
+patterns leave of a long token is a secret as a whole if its mean
+log-likelihood ratio is above a cut that held-out identifiers stay below.
+Otherwise its best run of characters is one, wherever that begins and ends,
+if the run's sum of ratios is above a cut for tokens of that length.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 import random
 import re
 import string
-from bisect import bisect_left
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,12 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "markov")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Least characters of a secret without a pattern, and of one judged by its mean; lengths that part the cuts on sums.
+LEAST, LEAST_MEAN, LENGTHS = 16, 20, (24, 40, 80, 160)
+#: Taken off each ratio before sums, so that long odd but ordinary text does not add up to what a short key has.
+DRIFT = 2.0
+SIGNS = "+/_=-"
 CHARS = string.ascii_letters + string.digits + "+/_=-"
 EDGE = len(CHARS)
 #: Bounds of the training sample: documents, and distinct words taken from each.
@@ -73,11 +80,20 @@ def _log_model(tokens: list[str]) -> np.ndarray:
     return np.log(p2)
 
 
+def _long(names: list[str], seed: int = 17) -> list[str]:
+    """Names joined to tokens of all lengths, as in paths and constants."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(2 * len(names)):
+        out.append(rng.choice(("_", "-", "/", "=")).join(rng.choices(names, k=rng.randint(2, 12)))[:400])
+    return out
+
+
 class SecretModel:
-    """Log-likelihood ratios of random over ordinary, and the cut on their mean."""
+    """Log-likelihood ratios of random over ordinary, the cut on their mean, and the cuts on the sums of runs."""
 
-    def __init__(self, ratio: np.ndarray, cut: float):
-        self.ratio, self.cut = ratio, cut
+    def __init__(self, ratio: np.ndarray, cut: float, sums: tuple[float, ...] = (16.0,) * (len(LENGTHS) + 1)):
+        self.ratio, self.cut, self.sums = ratio, cut, sums
 
     @classmethod
     def train(cls, randoms: list[str], ordinary: list[str]) -> "SecretModel":
@@ -86,29 +102,71 @@ class SecretModel:
         model = cls(ratio, 0.0)
         scores = [model.score(t) for t in held if len(t) >= 12]
         model.cut = max(0.3, float(np.quantile(scores, 0.9999)) + 0.1 if scores else 0.0)
+        sums = [[] for _ in model.sums]
+        for t in (held + _long(held) if held else ()):
+            if len(t) >= LEAST:
+                sums[bisect_right(LENGTHS, len(t))].append(model.best_run(model.ratios(t))[0])
+        # A longer token has more runs to choose from, so no cut is below that of a shorter one.
+        found = [float(np.quantile(x, 0.9999)) + 1.0 if x else 0.0 for x in sums]
+        model.sums = tuple(float(x) for x in np.maximum.accumulate([max(8.0, x) for x in found]))
         return model
 
-    def score(self, token: str) -> float:
+    def ratios(self, token: str) -> np.ndarray:
         c = _codes(token)
-        return float(self.ratio[c[:-2], c[1:-1], c[2:]].mean())
+        return self.ratio[c[:-2], c[1:-1], c[2:]]
+
+    def score(self, token: str) -> float:
+        return float(self.ratios(token).mean())
+
+    def best_run(self, ratios: np.ndarray) -> tuple[float, int, int]:
+        """(sum, start, end) of the run of at least ``LEAST`` characters with the highest sum of ratios less ``DRIFT``."""
+        total = np.concatenate(([0.0], np.cumsum(ratios - DRIFT, dtype=np.float64)))
+        gain = total[LEAST:] - np.minimum.accumulate(total[: len(total) - LEAST])
+        end = int(gain.argmax()) + LEAST
+        return float(gain[end - LEAST]), int(total[: end - LEAST + 1].argmin()), end
+
+    def runs(self, token: str) -> list[tuple[int, int]]:
+        """(start, end) of the secrets in a token that no pattern claims."""
+        ratios = self.ratios(token)
+        if len(token) >= LEAST_MEAN and ratios.mean() > self.cut:
+            return [(0, len(token))]
+        cut, out, left = self.sums[bisect_right(LENGTHS, len(token))], [], [(0, len(token))]
+        while left:
+            low, high = left.pop()
+            if high - low < LEAST:
+                continue
+            best, a, b = self.best_run(ratios[low:high])
+            if best <= cut:
+                continue
+            a, b = low + a, low + b
+            # No rest of a word of the secret stays outside.
+            while a > low and token[a - 1] not in SIGNS and token[a] not in SIGNS:
+                a -= 1
+            while b < high and token[b] not in SIGNS and token[b - 1] not in SIGNS:
+                b += 1
+            out.append((a, b))
+            left += [(low, a), (b, high)]
+        return sorted(out)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """All spans of a whole text: the base ones, and tokens the models call random."""
+        """All spans of a whole text: the base ones, and what the models call random of the rest of each token."""
         found = base_spans(text)
-        starts = [s[0] for s in found]
         # Base spans may overlap each other; the furthest end so far decides.
-        reach, ends = 0, []
+        starts, ends, reach = [], [], 0
         for s in found:
+            starts.append(s[0])
             reach = max(reach, s[1])
             ends.append(reach)
         added = []
         for m in TOKEN.finditer(text):
-            a, b = m.span()
-            at = bisect_left(starts, b)
-            if at and ends[at - 1] > a:
-                continue
-            if self.score(m.group()) > self.cut:
-                added.append((a, b, 3))
+            at, end = m.span()
+            k = bisect_right(ends, at)
+            while at < end:
+                stop = min(end, starts[k]) if k < len(starts) else end
+                if stop - at >= LEAST:
+                    added += [(at + a, at + b, 3) for a, b in self.runs(text[at:stop])]
+                at = max(at, ends[k]) if k < len(ends) else end
+                k += 1
         return sorted(found + added, key=lambda s: (s[0], s[2])) if added else found
 
 

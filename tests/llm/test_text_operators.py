@@ -2,6 +2,7 @@
 
 import math
 import random
+import string
 import re
 import zlib
 from collections import Counter
@@ -133,6 +134,26 @@ def test_redaction_keeps_columns_and_merges_spans(spark):
     assert secrets.scan(docs_of(spark, [])).count() == 0
 
 
+def test_random_runs_within_tokens():
+    model = secrets.SecretModel.train(secrets.random_samples(), secrets.generated_samples())
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    marked = lambda text: [text[a:b] for a, b, k in model.spans(text) if k == 3]
+    frames = ("{}", "STRIPE_PRODUCTION_PUBLISHABLE_CREDENTIAL={}", "static/content/images/thumbnail/profile/account/user/{}", "user_{}_item/list")
+    for n, least in ((16, 0.9), (19, 0.95), (24, 0.99)):
+        for frame in frames:
+            keys = [key(n) for _ in range(200)]
+            assert sum(any(k in s for s in marked(frame.format(k))) for k in keys) >= least * len(keys), (n, frame)
+    hexes = "0123456789abcdef" * 2
+    k = key(24)
+    assert any(k in s for s in marked(f"{hexes}/{k}")) and any(k in s for s in marked(f"{k}/{hexes}"))
+    a, b = key(24), key(24)
+    found = marked(f"content_value_{a}/static/content/images/thumbnail/profile/{b}")
+    assert any(a in s for s in found) and any(b in s for s in found)
+    for name in ("static/content/images/thumbnail/profile/account/user", "STRIPE_PRODUCTION_PUBLISHABLE_CREDENTIAL", "getAccountTransactionHandler", "2024-01-01/2024-12-31", "=" * 40):
+        assert marked(name) == [], name
+
+
 # --- language model
 
 
