@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quadrel.functions import tables as T
 from quadrel.operators import blocks, decoder, formats, motion, scan, streams
 from quadrel.operators.readers import DecodeError
-from quadrel.plans import catalog
+from quadrel.plans import catalog, decode_queries
 from quadrel.sources import carriers, synth
 from quadrel.streaming.decode import decode_stream
 
@@ -84,6 +84,21 @@ def test_packet_statuses():
     assert status_of([synth.header(True, 20, mb_w=9, payload=payload(1))], most_blocks=4) == ["InvalidData"]
 
 
+def test_status_query_decodes_packets_of_many_blocks(spark, tmp_path):
+    """A text that is a valid intra packet of over 4 macroblocks."""
+    rng = random.Random(3)
+    small, large = decoder.Decoder(TABLES, most_blocks=4), decoder.Decoder(TABLES, most_blocks=60)
+    while True:
+        text = bytes([41, 7 << 3, 0, 60, *(rng.randrange(1, 128) for _ in range(300))])
+        if large.starts_group(text, len(text)) and not small.starts_group(text, len(text)):
+            if status_of([text]) == ["OK"]:
+                break
+    rows = [(1, 0, text.decode()), (2, 0, "no packet")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = {(r["status"], r["frame_type"]): r["n"] for r in decode_queries.decode_status(spark, str(tmp_path)).collect()}
+    assert out[("OK", "I")] == 1 and sum(out.values()) == 2
+
+
 def test_truncated_packets():
     intra = synth.header(True, 20, payload=payload(3))
     # Range-coded data goes on with zeros past its end; Huffman codes do not.
