@@ -77,10 +77,11 @@ def _parts(c: str) -> str:
 
 
 def _sampled(steps: dict) -> str:
-    """Samples at the given steps (dx, dy) beside each place, with replicated borders."""
-    at = lambda c, d: f"greatest(least(b.{c} + ({d}), 7), 0)"
-    joins = (f"join px as {n} on {n}.block_id = b.block_id and {n}.x = {at('x', dx)} and {n}.y = {at('y', dy)}" for n, (dx, dy) in steps.items())
-    return "from px as b " + " ".join(joins)
+    """Samples at the given steps (dx, dy) beside each place, with replicated borders, looked up in one list per block."""
+    at = lambda c, d: f"greatest(least({c} + ({d}), 7), 0)"
+    found = (f"ps[{at('y', dy)} * 8 + {at('x', dx)} + 1] as {n}" for n, (dx, dy) in steps.items())
+    return f"""from (select block_id, place, {', '.join(found)} from
+  (select block_id, ps, place, place % 8 as x, place // 8 as y from (select block_id, list(p order by place) as ps from px group by block_id), range(64) as r(place)))"""
 
 
 def _bilinear(a: str, b: str, part: int) -> str:
@@ -116,12 +117,12 @@ from g left join a using (pkt_no, mb_x, mb_y) left join b using (pkt_no, mb_x, m
     "edge_emulation": _PX
     + """, c as (select block_id, unnest(range(144)) as place from (select distinct block_id from px))
 select c.block_id, c.place, px.p as value from c join px on px.block_id = c.block_id and px.x = greatest(least(c.place % 12 - 3, 7), 0) and px.y = greatest(least(c.place // 12 + 5, 7), 0)""",
-    "mc_bilinear_h": _PX + f"select b.block_id, b.place, {_bilinear('b.p', 'r.p', 3)} as value {_sampled({'r': (1, 0)})}",
-    "mc_bilinear_v": _PX + f"select b.block_id, b.place, {_bilinear('b.p', 'd.p', 5)} as value {_sampled({'d': (0, 1)})}",
+    "mc_bilinear_h": _PX + f"select block_id, place, {_bilinear('b', 'r', 3)} as value {_sampled({'b': (0, 0), 'r': (1, 0)})}",
+    "mc_bilinear_v": _PX + f"select block_id, place, {_bilinear('b', 'd', 5)} as value {_sampled({'b': (0, 0), 'd': (0, 1)})}",
     "mc_bilinear_hv": _PX
-    + f"select b.block_id, b.place, {_bilinear(_bilinear('b.p', 'r.p', 3), _bilinear('d.p', 'q.p', 3), 5)} as value {_sampled({'r': (1, 0), 'd': (0, 1), 'q': (1, 1)})}",
-    "mc_bicubic_h": _PX + f"select b.block_id, b.place, {_taps([f'{n}.p' for n in _ROW], TAPS_X)} as value {_sampled(_ROW)}",
-    "mc_bicubic_v": _PX + f"select b.block_id, b.place, {_taps([f'{n}.p' for n in _COLUMN], TAPS_Y)} as value {_sampled(_COLUMN)}",
+    + f"select block_id, place, {_bilinear(_bilinear('b', 'r', 3), _bilinear('d', 'q', 3), 5)} as value {_sampled({'b': (0, 0), 'r': (1, 0), 'd': (0, 1), 'q': (1, 1)})}",
+    "mc_bicubic_h": _PX + f"select block_id, place, {_taps(list(_ROW), TAPS_X)} as value {_sampled(_ROW)}",
+    "mc_bicubic_v": _PX + f"select block_id, place, {_taps(list(_COLUMN), TAPS_Y)} as value {_sampled(_COLUMN)}",
     "mc_bicubic_hv": _PX
-    + f"select b.block_id, b.place, {_taps([_taps([f's{i}{j}.p' for i in range(4)], TAPS_X) for j in range(4)], TAPS_Y)} as value {_sampled(_SQUARE)}",
+    + f"select block_id, place, {_taps([_taps([f's{i}{j}' for i in range(4)], TAPS_X) for j in range(4)], TAPS_Y)} as value {_sampled(_SQUARE)}",
 }
