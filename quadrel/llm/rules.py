@@ -1,15 +1,17 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes or abstains: detectors of one defect vote bad (-1), and one
-rule votes good (1) on texts in which no ratio is even near a defect. The
-votes of a document form one of at most 2**8 patterns; the patterns are
-counted, and expectation-maximisation over the counts estimates how often
-each rule's votes are right. A document's verdict is its posterior
-probability of being good, given all its votes.
-
-A rule abstains on good and bad texts alike in this model, and both classes
-weigh the same before any vote: a detector that is alone in what it finds
-then keeps its first accuracy, which agreement raises and conflict lowers.
+Every rule looks at one ratio of a text and has ranges of its own: in one it
+votes good (1), in another bad (-1), and between them it abstains (0). So
+rules contradict each other on the same text. The votes of a document form a
+pattern; the patterns of all documents that pass the base rules are counted,
+and expectation-maximisation over the counts estimates the share of good
+documents and, for each rule, how often its vote is right on good documents
+and on bad ones. A document's verdict is its posterior probability of being
+good, given all its votes: a lone vote of a rule that the others contradict
+is outweighed, where a filter that all rules must pass would reject.
+
+An abstention is no evidence. The first accuracies only say which of the two
+classes is the good one.
 """
 
 from __future__ import annotations
@@ -27,20 +29,28 @@ SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: Detector: (ratio, votes bad above, the rule "clean" may vote good below).
-DETECTORS = {
-    "symbols": ("r_symbols", 0.25, 0.05),
-    "repeats": ("r_repeats", 0.35, 0.20),
-    "dup_lines": ("r_dup_lines", 0.50, 0.25),
-    "capitals": ("r_capitals", 0.30, 0.15),
-    "bangs": ("r_bangs", 0.10, 0.02),
-    "digits": ("r_digits", 0.20, 0.05),
-    "long_words": ("r_chars", 14.0, 10.0),
+#: Rule: (ratio, votes bad below, votes good from, votes good to, votes bad above); None for no such bound.
+RULES = {
+    "symbols": ("r_symbols", None, None, 0.05, 0.25),
+    "bare_symbols": ("r_bare", None, None, 0.01, 0.10),
+    "short_words": ("r_short", 0.10, 0.15, None, None),
+    "repeats": ("r_repeats", None, None, 0.05, 0.20),
+    "dup_lines": ("r_dup_lines", None, None, 0.05, 0.30),
+    "capitals": ("r_capitals", None, 0.004, 0.10, 0.30),
+    "bangs": ("r_bangs", None, None, 0.01, 0.10),
+    "digits": ("r_digits", None, None, 0.01, 0.10),
+    "word_length": ("r_chars", 3.0, 4.0, 6.0, 7.0),
+    "same_words": ("r_same", None, None, 0.30, 0.45),
+    "length": ("n_words", 80, 150, None, None),
 }
-RULES = (*DETECTORS, "clean")
-FIRST_ACCURACY, PRIOR_VOTES = 0.8, 10.0
-LEAST, MOST = 0.05, 0.99
-ITERATIONS = 12
+#: Accuracies before any vote (a rule seldom faults a good document and finds few of all kinds of bad ones) and the share of good
+#: documents; as many votes are added for them.
+FIRST_GOOD, FIRST_BAD, FIRST_SHARE, PRIOR_VOTES = 0.95, 0.3, 0.5, 10.0
+LEAST, MOST = 0.02, 0.98
+ITERATIONS = 20
+
+_BEFORE, _AFTER = r"(?<![^\x20\x09-\x0D])", r"(?![^\x20\x09-\x0D])"
+SHORT_WORD, BARE_SYMBOLS = rf"{_BEFORE}\p{{L}}{{1,3}}[.,;:!?]?{_AFTER}", rf"{_BEFORE}[{SYMBOLS}]+{_AFTER}"
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -110,6 +120,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _count_of(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
         _count_of(F.col("text"), "0123456789").alias("n_digits"),
         (F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("!!"), F.lit("!")))).alias("n_bangs"),
+        F.regexp_count("text", F.lit(SHORT_WORD)).alias("n_short"),
+        F.when(_count_of(F.col("text"), SYMBOLS) > 0, F.regexp_count("text", F.lit(BARE_SYMBOLS))).otherwise(0).alias("n_bare"),
         window.alias("windows"),
     )
     repeated = F.when(
@@ -130,6 +142,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         _ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("r_dup_lines"),
         _ratio(F.col("n_capitals"), chars).alias("r_capitals"),
         _ratio(F.col("n_bangs"), words).alias("r_bangs"),
+        _ratio(F.col("n_short"), words).alias("r_short"),
+        _ratio(F.col("n_bare"), words).alias("r_bare"),
         _ratio(F.col("n_digits"), chars).alias("r_digits"),
         _ratio(chars, words).alias("r_chars"),
         F.when(words > 0, 1 - F.col("n_distinct") / words).otherwise(F.lit(0.0)).alias("r_same"),
@@ -137,59 +151,65 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def vote(rule: str) -> Column:
-    if rule == "clean":
-        calm = reduce(lambda a, b: a & b, [F.col(r) < low for r, _, low in DETECTORS.values()])
-        return F.when(calm, 1).otherwise(0)
-    ratio, high, _ = DETECTORS[rule]
-    return F.when(F.col(ratio) > high, -1).otherwise(0)
-
-
-def _log_odds(accuracy: dict) -> Column:
-    """Log-odds of good over bad: each vote weighs the log-odds of being right."""
-    return reduce(
-        lambda a, b: a + b,
-        [F.col(f"v_{r}") * F.lit(math.log(accuracy[r] / (1 - accuracy[r]))) for r in RULES],
-    )
+    """1, -1 or 0: the rule's vote on a row of ``features``."""
+    name, bad_below, good_from, good_to, bad_above = RULES[rule]
+    ratio = F.col(name)
+    bad = reduce(lambda a, b: a | b, [ratio < bad_below] * (bad_below is not None) + [ratio > bad_above] * (bad_above is not None))
+    good = reduce(lambda a, b: a & b, [ratio >= good_from] * (good_from is not None) + [ratio <= good_to] * (good_to is not None))
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
-def _sigmoid(x: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
+def _posterior(model: dict) -> Column:
+    """Probability of a good document, given its votes.
+
+    Log-odds stand in one array, three for each rule, so that all steps of a
+    fit run the same compiled code.
+    """
+    odds = [x for good, bad in (model[r] for r in RULES) for x in (math.log((1 - good) / bad), 0.0, math.log(good / (1 - bad)))]
+    table = F.lit([*odds, math.log(model["share"] / (1 - model["share"]))])
+    places = [F.col(f"v_{r}") + (3 * k + 1) for k, r in enumerate(RULES)]
+    total = reduce(lambda a, b: a + b, [F.get(table, p) for p in places], F.get(table, F.lit(len(odds))))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
 def fit(patterns: DataFrame, iterations: int = ITERATIONS) -> dict:
-    """Accuracy of each rule, by expectation-maximisation over counted vote patterns.
+    """{rule: (accuracy on good, accuracy on bad documents), "share": of good ones}, by expectation-maximisation.
 
-    Each step is one aggregation over at most 2**8 rows that brings two sums
-    per rule to the driver. ``PRIOR_VOTES`` votes at ``FIRST_ACCURACY`` are
-    added to each rule's own.
+    ``patterns`` has the counted (``n``) patterns of votes, of which there
+    are at most 3**11 however many documents there are. Each step is one
+    aggregation that brings four sums per rule to the driver. No patterns
+    leave the first values as they are.
     """
-    accuracy = dict.fromkeys(RULES, FIRST_ACCURACY)
+    model = dict.fromkeys(RULES, (FIRST_GOOD, FIRST_BAD)) | {"share": FIRST_SHARE}
     for _ in range(iterations):
-        good = _sigmoid(_log_odds(accuracy))
-        sums = []
+        good = F.col("p") * F.col("n")
+        bad = F.col("n") - good
+        sums = [F.sum(good).alias("good"), F.sum("n").alias("all")]
         for r in RULES:
             v = F.col(f"v_{r}")
-            right = F.when(v == 1, good).when(v == -1, 1 - good).otherwise(0.0)
-            sums += [F.sum(right * F.col("n")).alias(f"right_{r}"), F.sum(F.abs(v) * F.col("n")).alias(f"cast_{r}")]
-        row = patterns.agg(*sums).first()
-        for r in RULES:
-            share = ((row[f"right_{r}"] or 0.0) + FIRST_ACCURACY * PRIOR_VOTES) / ((row[f"cast_{r}"] or 0) + PRIOR_VOTES)
-            accuracy[r] = min(MOST, max(LEAST, share))
-    return accuracy
+            for name, part, right in (("good", good, 1), ("bad", bad, -1)):
+                sums += [F.sum(F.when(v == right, part)).alias(f"{name}_right_{r}"), F.sum(F.when(v != 0, part)).alias(f"{name}_cast_{r}")]
+        row = patterns.withColumn("p", _posterior(model)).agg(*sums).first()
+        part = lambda first, right, cast: min(MOST, max(LEAST, ((row[right] or 0.0) + first * PRIOR_VOTES) / ((row[cast] or 0) + PRIOR_VOTES)))
+        model = {
+            r: (part(FIRST_GOOD, f"good_right_{r}", f"good_cast_{r}"), part(FIRST_BAD, f"bad_right_{r}", f"bad_cast_{r}")) for r in RULES
+        } | {"share": part(FIRST_SHARE, "good", "all")}
+    return model
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its counts, base_failed, posterior and kept.
 
     ``kept`` is false if the base rules fail, else whether the posterior is
-    at least 0.5. Null text counts as empty, and an empty text has no words
+    at least 0.5. The accuracies come from all documents that pass the base
+    rules. Null text counts as empty, and an empty text has no words
     and fails the base. Null and repeated ids are passed through, one row
     each. An empty table gives no rows. Only the two named columns are read.
     """
     votes = [vote(r).alias(f"v_{r}") for r in RULES]
     scored = materialise(features(docs, id_col, text_col).select("*", *votes), "rules")
-    patterns = materialise(scored.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count("*").alias("n")), "patterns")
-    posterior = _sigmoid(_log_odds(fit(patterns)))
+    counted = scored.where("not base_failed").groupBy(*[f"v_{r}" for r in RULES]).agg(F.count("*").alias("n"))
+    posterior = _posterior(fit(materialise(counted, "patterns")))
     return scored.select(
         "doc_id",
         "n_words",
