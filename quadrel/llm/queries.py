@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import audio, classifier, pieces, secrets
 from .common import table
 from .html_text import page_text
@@ -34,10 +32,8 @@ def op4_audio(spark, sf_dir):
 
 
 def op5_url_filters(spark, sf_dir):
-    """Labels come from the labels table by id: a page is blocked if its row is of low quality or toxic."""
-    blocked = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
-    labels = table(spark, sf_dir, "labels", F.col("doc_id").alias("id"), blocked.alias("blocked"))
-    return url_filter(table(spark, sf_dir, "pages", "page_id", "url"), labels)
+    """Rules are mined from the fixed rules' verdicts: the labels table is of documents, not of pages."""
+    return url_filter(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
 def op6_secret_scans(spark, sf_dir):

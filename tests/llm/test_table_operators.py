@@ -1,5 +1,6 @@
 """Mixing, URL filters, page text, audio and the pipeline."""
 
+import itertools
 import random
 import re
 
@@ -124,6 +125,58 @@ def test_mined_url_rules(spark):
         assert r["verdict"] == ("block" if r["host"].startswith("spam.") else "allow"), r
 
 
+def brute_tokens(url):
+    host, path, *_ = brute_url(url)
+    query = re.match(r"(?s).*?://[^?#]*\?([^#]*)", url or "")
+    found = {"h:" + x for x in host.split(".") if x} | {"p:" + re.sub("[0-9]+", "#", x) for x in path.split("/") if x}
+    return found | {"q:" + x.split("=")[0] for x in re.split("[&;]", query[1] if query else "") if x.split("=")[0]}
+
+
+def brute_confidence(labelled, least, confidence):
+    """[(tokens, confidence)] of every token set that implies a block, by trying all sets."""
+    share = sum(b for _, b in labelled) / len(labelled)
+    every = {c for t, _ in labelled for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}
+    out = []
+    for found in every:
+        blocked = [b for t, b in labelled if t.issuperset(found)]
+        # A rule's support counts its URLs with the block.
+        if sum(blocked) >= least and sum(blocked) / len(blocked) >= confidence and sum(blocked) / len(blocked) > share:
+            out.append((set(found), sum(blocked) / len(blocked)))
+    return out
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(21)
+    hosts, words = ["a.example.org", "b.example.org", "x.com", "y.x.com", "q.net", "r.q.net"], ["de", "es", "fr", "en", "k", "k/m", "1", "12/v"]
+    found = [(i, f"http://{rng.choice(hosts)}/{rng.choice(words)}/{rng.choice(words)}{rng.choice(['', '?u=1', '?u=1&w=2', '#z'])}") for i in range(900)]
+    labels = [(i, rng.random() < (0.97 if "/k/m" in u else 0.3)) for i, u in found if i % 3 and "q.net" in u]
+    out = urls.url_filter(pages_of(spark, found), spark.createDataFrame(labels, "id long, blocked boolean")).collect()
+    known, labelled = dict(labels), []
+    for i, u in found:
+        verdict = brute_url(u)[3]
+        if verdict or i in known:
+            labelled.append((brute_tokens(u), verdict == "block" if verdict else known[i]))
+    rules = brute_confidence(labelled, urls.MIN_COUNT, urls.MIN_CONFIDENCE)
+    assert rules
+    mined = 0
+    for r in out:
+        host, path, rule, verdict = brute_url(found[r["page_id"]][1])
+        best = max((c for t, c in rules if t <= brute_tokens(found[r["page_id"]][1])), default=None)
+        assert r["verdict"] == (verdict or ("block" if best else "allow"))
+        assert r["confidence"] == (None if rule else best and pytest.approx(best))
+        mined += not rule and best is not None
+    assert mined > 20
+
+
+def test_long_urls_that_come_again_end(spark):
+    long_url = "http://h.org/es/" + "/".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    found = [(i, long_url.replace("h.org", "example.org")) for i in range(100)] + [(100 + i, f"http://h.org/{i}") for i in range(100)]
+    found += [(300, long_url.replace("h.org", "h.net")), (301, "http://h.net/sab"), (302, "http://h.net/zz")]
+    out = {r["page_id"]: r["verdict"] for r in urls.url_filter(pages_of(spark, found)).collect()}
+    assert out[300] == out[301] == "block" and out[302] == "allow"
+    assert urls.url_filter(pages_of(spark, [])).count() == 0
+
+
 # --- page text
 
 FRAME = '<!DOCTYPE html><html><head><title>T {0}</title><style>p{{}}</style><script>var x="</p>";</script></head><body><nav><a href="/a">Home</a></nav><!-- no --><div class="ad">Buy {0}</div>{1}<footer>&copy; host</footer>'
