@@ -379,6 +379,16 @@ def test_alignments_of_repeated_passages(spark):
     assert found[0, 1] == (0.0, -60, 70) and found[4, 5] == (0.0, -50, 0)
 
 
+def test_silence_gives_no_votes(spark):
+    quiet, tone = np.zeros(audio.HOP * 40, np.float32), tune(np.random.default_rng(3), 12)
+    item = lambda wave: audio.fingerprint(audio.chroma(wave, audio.RATE))
+    assert set(item(quiet).tolist()) == {audio.SILENCE}
+    prints = {0: item(quiet), 1: item(np.concatenate([quiet, quiet])), 2: item(np.concatenate([quiet, tone, quiet])), 3: item(np.concatenate([tone, quiet]))}
+    found = links_of(spark, prints, set(prints))
+    # Only the tune links, and silence then counts in the overlap like anything else.
+    assert {(2, 3), (3, 2)} == found.keys() and found[3, 2][0] <= audio.MOST_ERRORS
+
+
 def test_rendered_vectors(spark):
     df = spark.createDataFrame([(1, [0.1] * 64), (2, None), (3, [None, 0.2])], "vec_id long, embedding array<float>")
     found = {r["rec_id"]: r["audio"] for r in audio.rendered(df).collect()}
