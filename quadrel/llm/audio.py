@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import materialise, small_batches
+from .common import hot_join, materialise, small_batches
 
 RATE, FRAME, HOP = 4000, 1024, 256
 CLASSES = 12
@@ -352,15 +352,20 @@ def match_recordings(recordings: DataFrame, id_col: str = "rec_id", audio_col: s
     usable = prints.where("rec_id is not null and n_items > 0")
     is_query = F.col("rec_id") % QUERY_MODULUS == 0
     classes = materialise(
-        usable.groupBy("digest").agg(F.min("rec_id").alias("rec_id"), F.max(is_query).alias("asked"), F.first("items").alias("items")), "audio"
+        usable.groupBy("digest").agg(
+            F.min("rec_id").alias("rec_id"), F.max(is_query).alias("asked"), F.first("items").alias("items"), F.count("*").alias("copies")
+        ),
+        "audio",
     )
     found = align(classes, classes.where("asked"))
     best = F.min(F.struct("bit_error", "rec_id", "offset"))
     linked = found.groupBy("query").agg(F.count("*").alias("n"), best.alias("best"))
     labels = classes.join(linked, F.col("rec_id") == F.col("query"), "left").select(
-        F.col("digest").alias("class"), F.col("rec_id").alias("class_id"), "n", "best"
+        F.col("digest").alias("class"), F.col("rec_id").alias("class_id"), "n", "best", "copies"
     )
-    rows = prints.join(labels, (F.col("digest") == F.col("class")) & F.col("rec_id").isNotNull() & (F.col("n_items") > 0), "left")
+    # A null id or a recording without items is of no shared class.
+    digest = F.when(F.col("rec_id").isNotNull() & (F.col("n_items") > 0), F.col("digest"))
+    rows = hot_join(prints.select("rec_id", "n_items", digest.alias("digest")), materialise(labels, "matches"), "digest", "class", "rec_id", "copies", "left")
     asked = F.coalesce(is_query, F.lit(False))
     return rows.select(
         "rec_id",

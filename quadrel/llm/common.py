@@ -42,6 +42,7 @@ def materialise(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quadrel-{tag}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write
     if codec:
         writer = writer.option("compression", codec)
@@ -49,6 +50,18 @@ def materialise(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: dict = {}
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables that ``materialise`` has written in this application; what was made from them cannot be read afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one of the input tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -73,6 +86,30 @@ def with_size_checked(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: A key is hot if it has more than 1/HOT of all rows, so there are fewer than HOT hot keys; their rows are dealt to SALTS tasks.
+HOT, SALTS = 1000, 64
+
+
+def hot_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_id: str, weight: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on a key, with the rows of hot keys dealt to many tasks.
+
+    ``right`` has each key once, with the number of its rows on the left in
+    ``weight``. Rows of a hot key are dealt by a hash of ``left_id``, and the
+    one row on the right is repeated for each share. Which keys are hot is
+    known from the weights: fewer than ``HOT`` keys, which are broadcast.
+    The columns of both sides are returned.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > total / HOT
+    mark, salt, other = free_name(left, "hot"), free_name(left, "salt"), free_name(right, "share")
+    marks = F.broadcast(right.where(hot).select(F.col(right_key).alias(mark)))
+    dealt = left.join(marks, F.col(left_key) == F.col(mark), "left")
+    dealt = dealt.withColumn(salt, F.when(F.col(mark).isNotNull(), F.pmod(F.xxhash64(left_id), F.lit(SALTS))).otherwise(0).cast("int"))
+    shares = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.withColumn(other, F.explode(shares))
+    return dealt.join(spread, (F.col(left_key) == F.col(right_key)) & (F.col(salt) == F.col(other)), how).drop(mark, salt, other)
+
+
 def small_batches(batches, column: int, most_bytes: int = 4 << 20):
     """Slices of Arrow batches with about ``most_bytes`` of text each, so that what Python makes of them stays small.
 

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow, ship
-from .common import materialise, small_batches, with_size_checked
+from .common import hot_join, materialise, small_batches, with_size_checked
 from .graph import components
 
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-BLOCK = 512
+#: Members in a block: of signatures, and of full sets.
+SIGN_BLOCK, BLOCK = 2048, 512
 _CHUNK_BYTES = 1 << 20
 _MOST_CACHED = 300_000
 
@@ -166,8 +167,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary")
 
 
-#: Bits of the bitmap that preselects documents, at most: 1 MB, whatever the number of ids.
-MOST_BITS = 1 << 23
+#: Bits of the bitmap that preselects documents, at most: 8 MB.
+MOST_BITS = 1 << 26
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -175,9 +176,14 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     A bitmap of hashed ids, of bounded size, lets most other documents fall
     away where they are read, so no texts are shuffled; what it lets through
-    by chance goes at the join of ids that follows.
+    by chance goes at the join of ids that follows. Where ids are too many
+    for the bitmap to tell them apart, texts are joined with them first.
     """
     n = wanted.count()
+    asked = wanted.select(F.col("id").alias("wanted"))
+    if 8 * n > MOST_BITS:
+        found = texts.join(asked, F.col("doc_id") == F.col("wanted"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+        return _shingled(found, words)
     bits = min(MOST_BITS, 1 << max(10, (16 * n).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     marked = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("at"))
@@ -187,19 +193,26 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         bitmap[r["at"]] = r["mask"]
     held = texts.sparkSession.sparkContext.broadcast(bitmap)
 
+    rows = texts.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").withColumn("slot", slot)
+    found = _shingled(rows.select("id", "text", "slot"), words, held)
+    return found.join(asked, F.col("id") == F.col("wanted"), "left_semi")
+
+
+def _shingled(rows: DataFrame, words: int, held=None) -> DataFrame:
+    """(id, shingles) of rows of (id, text), or of those of (id, text, slot) whose slot is marked in the bitmap ``held``."""
+
     def run(batches):
         cache = WordHashes()
-        for batch in small_batches(batches, 2, 4 * _CHUNK_BYTES):
-            at = batch.column(1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero(held.value[at >> 5] >> (at & 31).astype(np.uint64) & np.uint64(1))
-            ids, data = batch.column(0).take(pa.array(hit)), batch.column(2).take(pa.array(hit)).to_pylist()
+        for batch in small_batches(batches, 1, 4 * _CHUNK_BYTES):
+            if held is not None:
+                at = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.take(pa.array(np.flatnonzero(held.value[at >> 5] >> (at & 31).astype(np.uint64) & np.uint64(1))))
+            ids, data = batch.column(0), batch.column(1).to_pylist()
             for a, b in _chunks(data):
                 packed = [shingles(t, cache, words).tobytes() for t in data[a:b]]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
-    rows = texts.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").select("id", slot.alias("slot"), "text")
-    found = map_arrow(rows, run, "id long, shingles binary")
-    return found.join(wanted.select(F.col("id").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi")
+    return map_arrow(rows, run, "id long, shingles binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -252,8 +265,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined, run, "a long, b long")
 
 
-def _blocks(placed: DataFrame) -> DataFrame:
-    """Rows of ``placed`` (center, id, component, ...) dealt to pairs of blocks of their group.
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """Rows of ``placed`` (center, id, component, ...) dealt to pairs of blocks of their group, one pair to a task.
 
     A group's outer members (``outer``, those outside its most frequent
     component) are cut into blocks, and so are all its members. An outer row
@@ -268,17 +281,18 @@ def _blocks(placed: DataFrame) -> DataFrame:
     open_ = group.where("most < all").select(
         F.col("center").alias("open_center"),
         "main",
-        F.ceil(F.col("all") / BLOCK).cast("int").alias("member_parts"),
-        F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("outer_parts"),
+        F.col("all").alias("rows"),
+        F.ceil(F.col("all") / block).cast("int").alias("member_parts"),
+        F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("outer_parts"),
     )
-    rows = placed.join(open_, F.col("center") == F.col("open_center"))
+    rows = hot_join(placed, materialise(open_, "open"), "center", "open_center", "id", "rows")
     member_part = F.pmod(F.xxhash64("id"), F.col("member_parts")).cast("int")
     outer_part = F.pmod(F.xxhash64("id"), F.col("outer_parts")).cast("int")
     spread = lambda x, n: F.explode(F.sequence(F.lit(0), n - 1)).alias(x)
     kept = [*placed.columns, (F.col("component") != F.col("main")).alias("stray")]
     outer = rows.where("component != main").select(*kept, F.lit(True).alias("outer"), outer_part.alias("o"), spread("m", F.col("member_parts")))
     member = rows.select(*kept, F.lit(False).alias("outer"), spread("o", F.col("outer_parts")), member_part.alias("m"))
-    return outer.unionByName(member)
+    return outer.unionByName(member).repartition("center", "o", "m")
 
 
 def _candidates(rows: pd.DataFrame, percent: int):
@@ -335,13 +349,13 @@ def _rest(stars: DataFrame, found: DataFrame, classes: DataFrame, sets: DataFram
     members = stars.select(F.col("a").alias("center"), F.col("b").alias("id")).union(stars.select("a", "a").distinct())
     signs = classes.select("id", "n_shingles", "sig")
     signed = materialise(_placed(members.join(signs, "id"), found, "n_shingles", "sig"), "placed")
-    blocks = _blocks(signed).groupBy("center", "o", "m")
+    blocks = _blocks(signed, SIGN_BLOCK).groupBy("center", "o", "m")
     involved = materialise(blocks.applyInPandas(lambda rows: _involved(rows, percent), "center long, id long").distinct(), "involved")
     missing = involved.select("id").distinct().join(sets.select("id"), "id", "left_anti")
     if not missing.isEmpty():
         sets = sets.union(_sets_of(missing, texts, words, "sets2"))
     full = _placed(involved.join(signs, "id").join(sets, "id"), found, "n_shingles", "sig", "shingles")
-    again = _blocks(full).groupBy("center", "o", "m")
+    again = _blocks(full, BLOCK).groupBy("center", "o", "m")
     return materialise(again.applyInPandas(lambda rows: _block_links(rows, percent), "a long, b long"), "more")
 
 
@@ -375,8 +389,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     shared = materialise(
         banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low != high"), "shared"
     )
-    large = shared.where("n > 2").select(F.col("key").alias("large_key"), "low")
-    members = materialise(banded.join(large, F.col("key") == F.col("large_key")).select("key", "id", "low"), "members")
+    large = shared.where("n > 2").select(F.col("key").alias("large_key"), "low", "n")
+    members = materialise(hot_join(banded, large, "key", "large_key", "id", "n").select("key", "id", "low"), "members")
     stars = materialise(
         shared.where("n = 2")
         .select(F.col("low").alias("a"), F.col("high").alias("b"))
@@ -394,10 +408,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labels = classes.join(found, F.col("id") == F.col("node"), "left").select(
         F.col("digest").alias("class"), "copies", "id", F.coalesce("component", "id").alias("component")
     )
-    grouped = labels.where("copies > 1 or component != id").select("class", "component")
-    rows = signed.select("doc_id", "n_shingles", "digest").join(
-        grouped, (F.col("digest") == F.col("class")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left"
-    )
+    grouped = materialise(labels.where("copies > 1 or component != id").select("class", "component", "copies"), "grouped")
+    # A null id or an empty text is of no class.
+    digest = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest"))
+    rows = hot_join(signed.select("doc_id", "n_shingles", digest.alias("digest")), grouped, "digest", "class", "doc_id", "copies", "left")
     component = F.coalesce("component", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
