@@ -29,8 +29,8 @@ from .mixing import row_hash
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BUCKETS, DIMS, NONZERO, WINDOW = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS = 24, 300
-#: Bounds of the training sample: labelled rows, and characters of a text that may train.
-SAMPLE_ROWS, SAMPLE_CHARS = 3000, 50_000
+#: Bound of the training sample: labelled rows, with their whole texts.
+SAMPLE_ROWS = 3000
 THRESHOLD = 0.3
 FOLDS = 5
 _MOST_CACHED = 100_000
@@ -62,15 +62,32 @@ def token_ids(text: str, cache: Buckets) -> np.ndarray:
     return np.array([cache[t] for t in TOKEN.findall(text)], dtype=np.int32)
 
 
+def _pair_counts(texts: list[np.ndarray], step: int, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of buckets ``step`` apart in the texts, and how often each occurs; ``most`` pairs are sorted at a time."""
+    pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some, size = [], 0
+    for x in texts:
+        for at in range(0, max(0, len(x) - step), most):
+            part = x[at : at + most + step].astype(np.int64)
+            some.append(part[:-step] * BUCKETS + part[step:])
+            size += len(some[-1])
+            if size >= most:
+                pairs, counts, some, size = *_merged(pairs, counts, some), [], 0
+    return _merged(pairs, counts, some)
+
+
+def _merged(pairs: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *more]), return_counts=True)
+    both, place = np.unique(np.concatenate([pairs, found]), return_inverse=True)
+    return both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+
 def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
     """Unit vectors: each bucket's own index vector and those of its neighbours in the texts, summed."""
     index = index_vectors()
     words = index.copy()
     for step in range(1, WINDOW + 1):
-        pairs = [x[:-step].astype(np.int64) * BUCKETS + x[step:] for x in texts if len(x) > step]
-        if not pairs:
-            continue
-        pair, count = np.unique(np.concatenate(pairs), return_counts=True)
+        pair, count = _pair_counts(texts, step)
         for at in range(0, len(pair), 50_000):
             some = pair[at : at + 50_000]
             left, right, weight = some // BUCKETS, some % BUCKETS, np.log1p(count[at : at + 50_000]).astype(np.float32)[:, None]
@@ -115,9 +132,13 @@ class QualityModel:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 1) -> QualityModel:
-    """Fit vectors, network and temperature. Without both labels the score is the labels' smoothed mean."""
+    """As ``train_ids``, on texts; null counts as empty."""
     cache = Buckets()
-    ids = [token_ids(t or "", cache) for t in texts]
+    return train_ids([token_ids(t or "", cache) for t in texts], labels, seed)
+
+
+def train_ids(ids: list[np.ndarray], labels: list[int], seed: int = 1) -> QualityModel:
+    """Fit vectors, network and temperature. Without both labels the score is the labels' smoothed mean."""
     words = word_vectors(ids)
     y = np.array(labels, dtype=np.float64)
     width = DIMS + 2
@@ -159,34 +180,43 @@ def fold(doc_id, folds: int = FOLDS):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Train on a bounded sample of labelled rows outside fold 0.
 
-    The sample is the ``SAMPLE_ROWS`` labelled ids with the lowest id hash,
-    less texts of over ``SAMPLE_CHARS`` characters. An id that is labelled
-    twice trains with its lowest label.
+    The sample is the ``SAMPLE_ROWS`` labelled ids with the lowest id hash.
+    Their whole texts are cut into tokens on the executors; the driver gets
+    two bytes per token. An id that is labelled twice trains with its lowest
+    label, one with several texts with its lowest text. Labels that are null
+    or other than 0 and 1 and null ids are left out, and so are labels
+    without a document; without any the score is 0.5.
     """
     spark = docs.sparkSession
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(row_hash(F.col("doc_id")), "doc_id")
     picked = {r["doc_id"]: r["quality"] for r in chosen.limit(SAMPLE_ROWS).collect()}
     if not picked:
-        return train([], [])
-    ids = spark.createDataFrame([(i,) for i in picked], "picked long")
-    rows = (
+        return train_ids([], [])
+    asked = spark.createDataFrame([(i,) for i in picked], "picked long")
+    texts = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(ids), F.col("doc_id") == F.col("picked"))  # at most SAMPLE_ROWS ids
-        .where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS)
+        .join(F.broadcast(asked), F.col("doc_id") == F.col("picked"))  # at most SAMPLE_ROWS ids
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"))
-        .collect()
     )
-    rows.sort(key=lambda r: r["doc_id"])
-    return train([r["text"] for r in rows], [picked[r["doc_id"]] for r in rows])
+
+    def run(batches):
+        cache = Buckets()
+        for batch in small_batches(batches, 1):
+            ids = [token_ids(t or "", cache).astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    rows = sorted(map_arrow(texts.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids binary").collect())
+    return train_ids([np.frombuffer(r["ids"], np.uint16).astype(np.int32) for r in rows], [picked[r["doc_id"]] for r in rows])
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     Every whole text is scored, null as empty, whatever its id; ids pass
-    through, null and repeated ones too. Only the two named columns are read.
+    through, null and repeated ones too, and equal texts score alike. An
+    empty table gives no rows. Only the two named columns are read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,7 +233,12 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def accepted(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores at least the threshold, unchanged."""
+    """The rows of ``docs`` whose text scores at least the threshold, unchanged.
+
+    Null counts as an empty text, which is judged like any other; ids are not
+    read, and rows with equal texts stay or go together. An empty table gives
+    no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
