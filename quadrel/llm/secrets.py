@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from ..session import map_arrow
 from .common import small_batches
-from .mixing import row_hash
 
 # Fixed values of the scan's contract: kinds in order, with their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,8 +40,9 @@ DRIFT = 2.0
 SIGNS = "+/_=-"
 CHARS = string.ascii_letters + string.digits + "+/_=-"
 EDGE = len(CHARS)
-#: Bounds of the training sample: documents, and distinct words taken from each.
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 300
+#: Bound of the training sample: distinct words of all documents.
+SAMPLE_WORDS = 20_000
+ORDINARY = r"\b(?:[A-Za-z][a-z]{2,39}|[A-Z]{3,40})\b"
 
 _INDEX = np.full(128, EDGE, dtype=np.int64)
 for _i, _c in enumerate(CHARS):
@@ -213,21 +213,17 @@ def generated_samples(n: int = 8000, seed: int = 13) -> list[str]:
     return out
 
 
-def ordinary_samples(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
-    """Labelled ordinary identifiers: words of a bounded sample of documents, single and joined.
+def ordinary_samples(docs: DataFrame, text_col: str) -> list[str]:
+    """Labelled ordinary identifiers: words of whole documents, single and joined.
 
-    The sample is the ``SAMPLE_DOCS`` documents with the lowest id hash, and
-    ``SAMPLE_WORDS`` words of each. Ordinary are words of letters alone that
-    are in one case but for their first letter, which leaves out unknown
-    secrets of mixed signs.
+    Of the distinct words of all documents, those ``SAMPLE_WORDS`` with the
+    lowest hashes are taken, so reruns agree. Ordinary are words of letters
+    alone that are in one case but for their first letter, which leaves out
+    unknown secrets of mixed signs.
     """
-    keyed = docs.select(row_hash(F.col(id_col)).alias("h"))
-    cut = [r["h"] for r in keyed.orderBy("h").limit(SAMPLE_DOCS).collect()]
-    if not cut:
-        return []
-    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\b(?:[A-Za-z][a-z]{2,39}|[A-Z]{3,40})\b"), F.lit(0)))
-    rows = docs.where(row_hash(F.col(id_col)) <= cut[-1]).select(F.slice(words, 1, SAMPLE_WORDS).alias("w")).limit(SAMPLE_DOCS)
-    found = sorted({w for r in rows.collect() for w in r["w"] if not base_spans(w)})
+    words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(ORDINARY), F.lit(0)))
+    chosen = docs.select(F.explode(words).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
+    found = sorted(r["w"] for r in chosen.collect() if not base_spans(r["w"]))
     rng = random.Random(11)
     rng.shuffle(found)
     joined = [s.join(p) for s, p in zip(rng.choices(("_", "-", "", "/"), k=len(found)), zip(found[::2], found[1::2]))]
@@ -235,8 +231,8 @@ def ordinary_samples(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     return found + joined + camel
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SecretModel:
-    return SecretModel.train(random_samples(), generated_samples() + ordinary_samples(docs, id_col, text_col))
+def fit(docs: DataFrame, text_col: str = "text") -> SecretModel:
+    return SecretModel.train(random_samples(), generated_samples() + ordinary_samples(docs, text_col))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -261,9 +257,9 @@ def scan(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_i
 
     Null text counts as empty and has no spans (the digest is that of ''),
     ids pass through, null and repeated ones too. Texts are scanned whole.
-    Only the two named columns are read.
+    An empty table gives no rows. Only the two named columns are read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col))
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text_col))
 
     def run(batches):
         for batch in small_batches(batches, 1):
@@ -284,8 +280,12 @@ def scan(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_i
 
 
 def redacted(docs: DataFrame, model: SecretModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with every secret in the text replaced by a mark; null text stays null."""
-    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col, text_col))
+    """The same rows and columns, with every secret in the text replaced by a mark.
+
+    Null and empty texts stay as they are, null and repeated ids too; equal
+    texts change alike. An empty table gives no rows.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model or fit(docs, text_col))
     at = docs.columns.index(text_col)
 
     def run(batches):

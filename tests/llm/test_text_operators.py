@@ -1,6 +1,8 @@
 """Quality classifier, rules, secret scans, LM scores and pieces against brute force or held-out accuracy."""
 
+import hashlib
 import math
+import os
 import random
 import string
 import re
@@ -61,6 +63,37 @@ def test_classifier_edges(spark):
     assert classifier.accepted(docs, model).columns == docs.columns
 
 
+def test_classifier_trains_on_long_texts_and_all_their_tokens(spark):
+    rng = random.Random(5)
+    rows = [(i, (junk if i % 2 else prose)(rng, 12_000 if i < 40 else 40)) for i in range(80)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    model = classifier.fit(docs, labels)
+    out = {r["doc_id"]: r["predicted"] for r in classifier.score(docs, model).collect()}
+    assert all(out[i] == 1 - i % 2 for i in out)
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    same = classifier.train([rows[i][1] for i in kept], [1 - i % 2 for i in kept])
+    assert np.array_equal(same.words, model.words) and same.temperature == model.temperature
+
+
+def test_pair_counts_in_parts_equal_counts_at_once():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, n) for n in (0, 1, 2, 3, 50, 700)]
+    for step in (1, 2):
+        expected = Counter(int(a) * classifier.BUCKETS + int(b) for x in texts for a, b in zip(x, x[step:]))
+        for most in (1, 7, 1 << 22):
+            pairs, counts = classifier._pair_counts(texts, step, most)
+            assert dict(zip(pairs.tolist(), counts.tolist())) == expected
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="sample tables are absent")
+def test_classifier_on_the_sample_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = classifier.score(docs, classifier.fit(docs, labels)).where("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
+    assert len(out) > 40 and sum(r["predicted"] == r["quality"] for r in out) >= 0.95 * len(out)
+
+
 # --- quality rules
 
 
@@ -196,6 +229,79 @@ def test_base_spans():
     assert secrets.base_spans("é" * 3 + "AKIA" + "A" * 14) == [(3, 21, 1)]
 
 
+def brute_base(text):
+    """Base spans by walking over characters, one kind at a time."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    value = set(string.ascii_letters + string.digits + "+/_.=-")
+    found = []
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assigned(at):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                k = at + len(name)
+                # Optional signs may have to be given up for the rest to fit; here none of them can start what follows.
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                k = run(k, " ")
+                if text[k : k + 1] not in (":", "=") or k >= len(text):
+                    return None
+                k = run(k + 1, " ")
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                return (k, run(k, value)) if run(k, value) > k else None
+        return None
+
+    for kind in range(3):
+        at = 0
+        while at < len(text):
+            if kind == 0:
+                hit = assigned(at)
+                start, end, keep = at, hit and hit[1], hit and hit[1] - hit[0] >= 12
+            elif kind == 1:
+                end = run(at + 4, set(string.ascii_uppercase + string.digits)) if text.startswith("AKIA", at) else 0
+                hit, start, keep = end > at + 4, at, end - at >= 18
+            else:
+                end = run(at, set("0123456789abcdef"))
+                hit, start, keep = end > at, at, end - at >= 16
+            if hit:
+                if keep:
+                    found.append((start, end, kind))
+                at = end
+            else:
+                at += 1
+    return sorted(found, key=lambda s: (s[0], s[2]))
+
+
+def test_counts_and_digest_equal_a_brute_scan(spark):
+    rng = random.Random(41)
+    parts = ["token", "api_key", "APIKEY", "Secret", "passwd", "password", "AKIA", "AKIAQWERTYUIOPASDF", "0123456789abcdef", "deadbeef", "é", "\u017f", "😀", " ", " ", "=", ":", "'", '"', "\n", "x", "Zk9", "+/", "abcdefghijkl", "-"]
+    texts = [None, ""] + ["".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(1500)]
+    texts += ["token=" + "a1" * 50_000, "x " * 30_000 + "AKIA" + "Z" * 20]
+    out = {r["doc_id"]: r for r in secrets.scan(docs_of(spark, list(enumerate(texts)))).collect()}
+    total = Counter()
+    for i, text in enumerate(texts):
+        spans = brute_base(text or "")
+        r, n = out[i], Counter(k for *_, k in spans)
+        total += n
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (n[0], n[1], n[2]), text
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, b, k in spans)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("markov")] == [s for s in line.split(",") if s]
+    assert min(total.values()) > 50
+
+
+def test_ordinary_words_come_from_all_of_all_documents(spark):
+    late = "zebra"
+    rows = [(i, "common words here " * 400 + (late if i == 59 else "")) for i in range(60)] + [(None, "nobody"), (None, "nowhere"), (5, None)]
+    found = secrets.ordinary_samples(docs_of(spark, rows), "text")
+    assert {"common", "words", "here", late, "nobody", "nowhere"} <= set(found)
+    assert found == secrets.ordinary_samples(docs_of(spark, rows[::-1]), "text")
+
+
 def test_markov_models_find_random_strings(spark):
     rng = random.Random(4)
     words = ["request", "config", "handler", "value", "stream", "window", "update", "record", "session", "template"]
