@@ -84,6 +84,26 @@ MB_TYPES = (
 )
 #: Place of each macroblock type in the mode probability tables.
 MODE_PLACES = (1, 0, 2, 3, 4, 7, 5, 6, 8, 9)
+#: Tree of macroblock types: (index of probability, branch for 0, branch for 1).
+MODE_TREE = (0, (1, (3, 1, 2), (4, 3, 4)), (2, (5, 0, 5), (6, (7, 6, 7), (8, 8, 9))))
+
+
+def mode_branches(counts: list) -> list:
+    """For each branch of the mode tree: (count of its branch for 0, count of both), from counts by place in the probability tables.
+
+    Counts are numbers or columns.
+    """
+    out = [None] * 9
+
+    def total(node):
+        if not isinstance(node, tuple):
+            return counts[MODE_PLACES[node]]
+        zero, one = total(node[1]), total(node[2])
+        out[node[0]] = (zero, zero + one)
+        return zero + one
+
+    total(MODE_TREE)
+    return out
 
 
 def ref_id(mb_type: int) -> int:

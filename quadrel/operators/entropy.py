@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import byte_at
 from ..functions.fixed import long, mode_share, prob_weight, shr
+from ..functions.tables import mode_branches
+from .readers import RUN_WEIGHTS, TOKEN_WEIGHTS, leaf_weights
 
 
 def bool_decisions(data: Column, probs: list) -> Column:
@@ -68,35 +70,36 @@ def bool_decisions(data: Column, probs: list) -> Column:
 
 def mode_probs(sent: Column, mode: Column) -> list:
     """The ten branch probabilities of a macroblock mode, from the twenty sent ones (pairs of change and keep)."""
-    x = lambda i: F.get(sent, F.lit(i))
-    c = [F.when(mode == i, 0).otherwise(long(x(2 * i)) * 100) for i in range(10)]
-    plain, moved = c[0] + c[2], c[3] + c[4]
-    gold_plain, gold_moved = c[5] + c[6], c[8] + c[9]
-    mixed, inter = c[1] + c[7], plain + moved
-    golden = gold_plain + gold_moved
-    branches = [
-        (inter, inter + mixed + golden),
-        (plain, inter),
-        (mixed, mixed + golden),
-        (c[0], plain),
-        (c[3], moved),
-        (c[1], mixed),
-        (gold_plain, golden),
-        (c[5], gold_plain),
-        (c[8], gold_moved),
-    ]
+    counts = [F.when(mode == i, 0).otherwise(long(F.get(sent, F.lit(2 * i))) * 100) for i in range(10)]
     keep, change = long(F.get(sent, mode * 2 + 1)), long(F.get(sent, mode * 2))
-    return [mode_share(a, b) + 1 for a, b in branches] + [255 - mode_share(keep, keep + change)]
+    return [mode_share(zero, both) + 1 for zero, both in mode_branches(counts)] + [255 - mode_share(keep, keep + change)]
+
+
+def _leaves(tree, probs: Column, n_probs: int, n: int) -> list:
+    return leaf_weights(tree, [long(F.get(probs, F.lit(i))) for i in range(n_probs)], n, prob_weight)
 
 
 def huffman_weights(probs: Column) -> list:
     """Weights of the twelve token leaves from eleven probabilities; the last leaf ends the block."""
-    p = [long(F.get(probs, F.lit(i))) for i in range(11)]
-    q = [255 - x for x in p]
-    big = prob_weight(q[0], q[2])
-    two, high = prob_weight(big, p[3]), prob_weight(big, q[3])
-    pair = prob_weight(two, q[4])
-    low_cat, high_cat = prob_weight(high, p[6]), prob_weight(high, q[6])
-    mid_cat, top_cat = prob_weight(high_cat, p[8]), prob_weight(high_cat, q[8])
-    tails = [f(root, x) for root, i in ((low_cat, 7), (mid_cat, 9), (top_cat, 10)) for f, x in ((prob_weight, p[i]), (prob_weight, q[i]))]
-    return [prob_weight(p[0], q[1]), prob_weight(q[0], p[2]), prob_weight(two, p[4]), prob_weight(pair, p[5]), prob_weight(pair, q[5]), *tails, prob_weight(p[0], p[1])]
+    return _leaves(TOKEN_WEIGHTS, probs, 11, 12)
+
+
+def run_weights(probs: Column) -> list:
+    """Weights of the nine leaves of zero runs from eight probabilities."""
+    return _leaves(RUN_WEIGHTS, probs, 8, 9)
+
+
+def decided_number(bits: Column, at: int, n: int) -> Column:
+    """``n`` (1 to 32) decisions of a string of 0 and 1, as a number; null past its end."""
+    part = F.substring(bits, at + 1, n)
+    return F.when(F.length(part) == n, F.conv(part, 2, 10).cast("long"))
+
+
+def decided_signed(bits: Column, at: int, n: int) -> Column:
+    """The same with the first decision as the sign of a two's complement."""
+    return decided_number(bits, at, n) - F.when(F.substring(bits, at + 1, 1) == "1", 1 << n).otherwise(0)
+
+
+def decided_probability(bits: Column, at: int) -> Column:
+    """Seven decisions, doubled; 0 means 1."""
+    return F.greatest(decided_number(bits, at, 7) * 2, F.lit(1).cast("long"))
