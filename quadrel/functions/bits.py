@@ -62,6 +62,36 @@ def read_signed(data: Column, at: int, n: int, mode: str = "be") -> Column:
     return read_bits(data, at, n, mode).bitwiseXOR(half) - half
 
 
+def peek_at(data: Column, at: Column, n: int, low_first: bool = False) -> Column:
+    """The next ``n`` (1 to 32) bits at a place that is a column, with zeros past the end; other ``n`` give 0."""
+    if not 0 < n <= 32:
+        return F.lit(0).cast("long")
+    first, inside = F.shiftright(long(at), 3), long(at).bitwiseAND(7).cast("int")
+    # At most five bytes hold the bits.
+    text = F.rpad(F.hex(F.substr(data, (first + 1).cast("int"), F.lit(5))), 10, "0")
+    if low_first:
+        text = F.concat(*[F.substring(text, 2 * k + 1, 2) for k in range(4, -1, -1)])
+    value = F.conv(text, 16, 10).cast("long")
+    move = inside if low_first else F.lit(40 - n) - inside
+    return F.call_function("shiftright", value, move).bitwiseAND((1 << n) - 1)
+
+
+def skipped(data: Column, at: Column, n: Column) -> Column:
+    """The place after skipping ``n`` bits; past the end only a border of 32 bits is reached, else null."""
+    to = long(at) + long(n)
+    return F.when((to <= F.octet_length(data).cast("long") * 8) | (to % 32 == 0), to)
+
+
+def sought(data: Column, at: Column) -> Column:
+    """The place itself, null if its byte lies past the end."""
+    return F.when(F.floor((long(at) + 7) / 8) <= F.octet_length(data), long(at))
+
+
+def aligned(at: Column) -> Column:
+    """The next place at a byte border."""
+    return F.floor((long(at) + 7) / 8).cast("long") * 8
+
+
 def align(at: int) -> int:
     """The next place at a byte border."""
     return -(-at // 8) * 8

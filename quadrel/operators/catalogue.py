@@ -72,6 +72,26 @@ def buffer_offset(offsets: Column, index: Column) -> Column:
     return F.coalesce(F.get(offsets, index), F.lit(0).cast("long"))
 
 
+#: What a buffer of each kind gives: bits of its samples, a view of 8, 16 or 32 bits, and its text.
+BUFFER_KINDS = {
+    "video": (8, "8-bit"),
+    "packed": (8, "packed"),
+    "video16": (16, "16-bit"),
+    "video32": (32, "32-bit"),
+}
+
+
+def buffer_view(kind: Column) -> Column:
+    """What a buffer of a kind holds, as a struct: has_video, view_bits (null for none) and its text; data and none hold no video."""
+    pick = lambda k: F.coalesce(*[F.when(kind == n, F.lit(v[k])) for n, v in BUFFER_KINDS.items()])
+    text = F.coalesce(pick(1), F.when(kind == "data", "Data buffer").otherwise("No buffer"))
+    return F.struct(pick(0).isNotNull().alias("has_video"), pick(0).alias("view_bits"), text.alias("text"))
+
+
+def vector_text(x: Column, y: Column) -> Column:
+    return F.concat_ws(",", x.cast("string"), y.cast("string"))
+
+
 def reference_frames(headers: DataFrame) -> DataFrame:
     """Packet numbers of the last and the golden reference of each packet.
 

@@ -44,7 +44,22 @@ def pixel_formats(spark: SparkSession) -> DataFrame:
 
 
 def default_components(model: Column) -> Column:
-    return F.when(model == "CMYK", 4).otherwise(3)
+    """Components of a colour model; a picture may have an alpha component besides."""
+    return F.coalesce(*[F.when(model == m, n) for m, n in DEFAULT_COMPONENTS.items()], F.lit(3))
+
+
+def is_model(model: Column, name: str) -> Column:
+    """Whether a colour model is RGB, YUV or any other."""
+    return model == name
+
+
+def model_short_name(model: Column) -> Column:
+    return F.lower(model)
+
+
+def describe_model(model: Column, submodel: Column) -> Column:
+    """Text of a colour model; only RGB and YUV have variants."""
+    return F.when(model.isin("RGB", "YUV"), F.concat(model, F.lit("("), submodel, F.lit(")"))).otherwise(model)
 
 
 def present(comps: Column) -> Column:
@@ -54,18 +69,18 @@ def present(comps: Column) -> Column:
 def scaled_size(size: Column, subsampling: Column) -> Column:
     """Width or height of a component: divided by a power of two, rounded up."""
     unit = F.element_at(F.array(*[F.lit(1 << k).cast("long") for k in range(9)]), subsampling.cast("int") + 1)
-    return F.floor((long(size) + unit - 1) / unit).cast("long")
+    return F.call_function("shiftright", F.try_add(long(size), unit - 1), subsampling.cast("int"))
 
 
 def line_size(width: Column, comp: Column) -> Column:
-    """Bytes of a packed component's line, elements of a planar one."""
+    """Bytes of a packed component's line, elements of a planar one; null if that is no BIGINT."""
     w = scaled_size(width, comp["h_ss"])
     depth = long(comp["depth"])
-    return F.when(comp["packed"], shr(w * depth + depth - 1, 3)).otherwise(w)
+    return F.when(comp["packed"], shr(F.try_add(F.try_multiply(w, depth), depth - 1), 3)).otherwise(w)
 
 
 def data_size(width: Column, height: Column, comp: Column) -> Column:
-    return line_size(width, comp) * scaled_size(height, comp["v_ss"])
+    return F.try_multiply(line_size(width, comp), scaled_size(height, comp["v_ss"]))
 
 
 def max_depth(comps: Column) -> Column:
@@ -156,7 +171,7 @@ def describe_component(comp: Column) -> Column:
 
 def describe(fmt) -> Column:
     """Text of a whole format."""
-    model = F.when(fmt("model").isin("RGB", "YUV"), F.concat(fmt("model"), F.lit("("), fmt("submodel"), F.lit(")"))).otherwise(fmt("model"))
+    model = describe_model(fmt("model"), fmt("submodel"))
     flags = F.concat(F.when(fmt("palette"), "palette ").otherwise(""), F.when(fmt("alpha"), "alpha ").otherwise(""))
     head = F.format_string("Formaton for %s (%selem %s size %d): ", model, flags, F.when(fmt("be"), "BE").otherwise("LE"), fmt("elem_size"))
     parts = F.transform(present(fmt("comp_info")), lambda c: F.concat(F.lit(" "), describe_component(c)))
@@ -164,49 +179,50 @@ def describe(fmt) -> Column:
 
 
 def aligned(size: Column, align: int) -> Column:
-    """Size rounded up to a power of two."""
-    return shr(long(size) + (1 << align) - 1, align) * (1 << align)
+    """Size rounded up to a multiple of a power of two."""
+    return shr(F.try_add(long(size), F.lit((1 << align) - 1).cast("long")), align) * (1 << align)
 
 
 def plane_layout(rows: DataFrame, align: int = 4) -> DataFrame:
-    """Buffer kind, offsets, strides and size of a picture in its format.
+    """Buffer kind, offsets, strides, size and status of a picture in its format.
 
     ``rows`` has width and height beside the format columns. Sizes are in
-    elements of the kind: video (8 bits), video16, video32 or packed.
+    elements of the kind: video (8 bits), video16, video32 or packed. A
+    format that lacks one of its components has the status FormatError; a
+    picture whose size is no BIGINT has TooLargeDimensions; both have nulls
+    in the other columns. Otherwise the status is OK.
     """
     fmt = F.col
     comps = present(fmt("comp_info"))
+    whole_format = F.size(F.filter(F.slice(fmt("comp_info"), F.lit(1), fmt("components")), lambda c: c.isNotNull())) == fmt("components")
     width, height = aligned(fmt("width"), align), aligned(fmt("height"), align)
     used = F.slice(comps, 1, 5)
+    add = lambda a, b: F.try_add(a, b)
     strides = F.transform(used, lambda c: line_size(width, c))
     sizes = F.transform(used, lambda c: data_size(width, height, c))
-    offsets = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b))
-    whole = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b)
+    offsets = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("long"), add))
+    total = F.aggregate(sizes, F.lit(0).cast("long"), add)
     all_packed = F.forall(used, lambda c: c["packed"])
     bytewise = F.forall(used, lambda c: ~c["packed"] | ((c["shift"] + c["depth"]) % 8 == 0))
     line = line_size(width, F.get(comps, F.lit(0)))
     elem = long(fmt("elem_size"))
     deepest = max_depth(comps)
-    no_longs = F.array().cast("array<bigint>")
-    kind = (
-        F.when(fmt("palette"), "video")
-        .when(~all_packed, F.when(deepest <= 8, "video").when(deepest <= 16, "video16").otherwise("video32"))
-        .when(bytewise | ~fmt("elem_size").isin(2, 4), "packed")
+    as_bytes = bytewise | ~fmt("elem_size").isin(2, 4)
+    palette, planar = fmt("palette"), ~all_packed
+    picture, packed_line = F.try_multiply(line, height), F.try_multiply(width, elem)
+    found = {
+        "kind": F.when(palette, "video")
+        .when(planar, F.when(deepest <= 8, "video").when(deepest <= 16, "video16").otherwise("video32"))
+        .when(as_bytes, "packed")
         .when(fmt("elem_size") == 2, "video16")
-        .otherwise("video32")
-    )
-    return rows.select(
-        "*",
-        kind.alias("kind"),
-        F.when(fmt("palette"), F.array(F.lit(0).cast("long"), line * height)).when(~all_packed, offsets).otherwise(no_longs).alias("offsets"),
-        F.when(fmt("palette"), F.array(line))
-        .when(~all_packed, strides)
-        .when(bytewise | ~fmt("elem_size").isin(2, 4), F.array(width * elem))
-        .otherwise(F.array(width))
-        .alias("strides"),
-        F.when(fmt("palette"), line * height + elem * 256)
-        .when(~all_packed, whole)
-        .when(bytewise | ~fmt("elem_size").isin(2, 4), width * elem * height)
-        .otherwise(width * height)
-        .alias("size"),
-    )
+        .otherwise("video32"),
+        "offsets": F.when(palette, F.array(F.lit(0).cast("long"), picture)).when(planar, offsets).otherwise(F.array().cast("array<bigint>")),
+        "strides": F.when(palette, F.array(line)).when(planar, strides).when(as_bytes, F.array(packed_line)).otherwise(F.array(width)),
+        "size": F.when(palette, F.try_add(picture, elem * 256))
+        .when(planar, total)
+        .when(as_bytes, F.try_multiply(packed_line, height))
+        .otherwise(F.try_multiply(width, height)),
+    }
+    status = F.when(~whole_format, "FormatError").when(found["size"].isNull(), "TooLargeDimensions").otherwise("OK")
+    laid = rows.select("*", *[c.alias(n) for n, c in found.items()], status.alias("status"))
+    return laid.select(*rows.columns, *[F.when(F.col("status") == "OK", F.col(n)).alias(n) for n in found], "status")

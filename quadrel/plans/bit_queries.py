@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions.fixed import long, prob_weight, rescale_prob
 from ..functions.tables import DC_WEIGHTS
+from ..operators import entropy as E
 from ..operators.entropy import bool_decisions, huffman_weights, mode_probs
 from ..sources import carriers
 
@@ -44,6 +45,43 @@ def bits_reverse(spark, sf_dir):
     )
 
 
+def _places(spark, sf_dir):
+    """Packets with a place in or behind them and a number of bits."""
+    return carriers.packets(spark, sf_dir).select("pkt_no", "data", (F.col("pkt_no") % 150).alias("at"), (F.col("pkt_no") * 7 % 200).alias("n"))
+
+
+def bits_peek(spark, sf_dir):
+    d, at = F.col("data"), F.col("at")
+    cols = [B.peek_at(d, at, n).alias(f"next{n}") for n in (0, 1, 7, 32, 33)] + [B.peek_at(d, at, 11, low_first=True).alias("low11")]
+    return _places(spark, sf_dir).select("pkt_no", *cols)
+
+
+def bits_skip(spark, sf_dir):
+    return _places(spark, sf_dir).select("pkt_no", B.skipped(F.col("data"), F.col("at") % 128, F.col("n")).alias("place"))
+
+
+def bits_seek(spark, sf_dir):
+    return _places(spark, sf_dir).select("pkt_no", B.sought(F.col("data"), F.col("at")).alias("place"))
+
+
+def bits_align(spark, sf_dir):
+    return _places(spark, sf_dir).select("pkt_no", F.col("at").alias("start"), B.aligned(F.col("at")).alias("place"))
+
+
+def bool_read_numbers(spark, sf_dir):
+    """Numbers of four, eight and seven decisions, the last one a probability, and a signed one of five."""
+    bits = F.col("bits")
+    found = carriers.packets(spark, sf_dir).select("pkt_no", bool_decisions(F.col("data"), [128] * 24).alias("bits"))
+    return found.select(
+        "pkt_no",
+        E.decided_number(bits, 0, 4).alias("four"),
+        E.decided_number(bits, 4, 8).alias("byte"),
+        E.decided_signed(bits, 12, 5).alias("signed"),
+        E.decided_probability(bits, 17).alias("probability"),
+        E.decided_number(bits, 20, 5).alias("past_end"),
+    )
+
+
 def bool_decode_p128(spark, sf_dir):
     return carriers.packets(spark, sf_dir).select("pkt_no", bool_decisions(F.col("data"), [128] * 16).alias("bits"))
 
@@ -85,6 +123,12 @@ def huffman_weight_table(spark, sf_dir):
     return rows.select("doc_id", *[w.alias(f"w{i}") for i, w in enumerate(huffman_weights(F.col("probs")))])
 
 
+def huffman_run_weights(spark, sf_dir):
+    s = F.col("s")
+    rows = _probs(spark, sf_dir).select("doc_id", F.array(*[(s * (i * 2 + 3)) % 254 + 1 for i in range(8)]).alias("probs"))
+    return rows.select("doc_id", *[w.alias(f"w{i}") for i, w in enumerate(E.run_weights(F.col("probs")))])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +136,12 @@ QUERIES = {
         bits_read_signed,
         bits_read_modes,
         bits_reverse,
+        bits_peek,
+        bits_skip,
+        bits_seek,
+        bits_align,
+        bool_read_numbers,
+        huffman_run_weights,
         bool_decode_p128,
         bool_decode_prob,
         rescale_probs,
@@ -196,7 +246,42 @@ select doc_id, {w('p0', no('p1'))} as w0, {w(no('p0'), 'p2')} as w1, {w('two', '
     )
 
 
+_AT = "with k as (select event_id as pkt_no, event_id % 150 as start, event_id * 7 % 200 as n from events) "
+
+
+def _peek_sql() -> str:
+    """Digits of the packet with zeros behind them; for the lowest bit first, digits of the reversed bytes from the right."""
+    shown = ", ".join(f"{_number(f'substr(w, start + 1, {n})', n)} as next{n}" for n in (1, 7, 32))
+    return (
+        _BITS
+        + f""", w as (select pkt_no, pkt_no % 150 as start, rpad(z, 256, '0') as w, lpad(array_to_string(list_reverse(list_transform(b, lambda x: lpad(bin(x), 8, '0'))), ''), 256, '0') as v from t)
+select pkt_no, 0::bigint as next0, 0::bigint as next33, {shown}, {_number('substr(v, 256 - start - 10, 11)', 11)} as low11 from w"""
+    )
+
+
+def _run_sql() -> str:
+    w = lambda a, b: f"greatest(1, (({a}) * ({b})) >> 8)"
+    no = lambda x: f"(255 - {x})"
+    ps = ", ".join(f"(s * {i * 2 + 3}) % 254 + 1 as p{i}" for i in range(8))
+    return (
+        _PROBS
+        + f""", a as (select doc_id, {ps} from d),
+b as (select *, {w('p0', 'p1')} as r03, {w(no('p0'), 'p4')} as r47, {w(no('p0'), no('p4'))} as w8 from a),
+c as (select *, {w('p0', no('p1'))} as r23 from b),
+e as (select *, {w('r47', 'p5')} as r45, {w('r47', no('p5'))} as r67 from c)
+select doc_id, {w('r03', 'p2')} as w0, {w('r03', no('p2'))} as w1, {w('r23', 'p3')} as w2, {w('r23', no('p3'))} as w3,
+  {w('r45', 'p6')} as w4, {w('r45', no('p6'))} as w5, {w('r67', 'p7')} as w6, {w('r67', no('p7'))} as w7, w8 from e"""
+    )
+
+
 ORACLES = {
+    "bits_peek": _peek_sql(),
+    "bits_skip": _AT + "select pkt_no, case when start % 128 + n <= 128 or (start % 128 + n) % 32 = 0 then start % 128 + n end as place from k",
+    "bits_seek": _AT + "select pkt_no, case when start <= 128 then start end as place from k",
+    "bits_align": _AT + "select pkt_no, start, case when start % 8 = 0 then start else start + 8 - start % 8 end as place from k",
+    "bool_read_numbers": f"""select pkt_no, {_at('bits', 0, 4)} as four, {_at('bits', 4, 8)} as byte, {_signed('bits', 12, 5)} as signed,
+  greatest(1, 2 * {_at('bits', 17, 7)}) as probability, null::bigint as past_end from ({_decisions([128] * 24)})""",
+    "huffman_run_weights": _run_sql(),
     "bits_read_be": _BITS
     + f"select pkt_no, {_at('z', 0, 17)} as first17, {_at('z', 3, 32)} as at3, {_at('z', 45, 9)} as at45, null::bigint as past_end, 83::bigint as bits_left, 24::bigint as aligned from t",
     "bits_read_signed": _BITS + f"select pkt_no, {_signed('z', 0, 5)} as s5, {_signed('z', 11, 16)} as s16, {_signed('z', 40, 32)} as s32 from t",

@@ -80,6 +80,21 @@ def block_variance(spark, sf_dir):
     return carriers.samples(spark, sf_dir).select("block_id", variance16(total, squares).alias("variance"))
 
 
+def _ilace(spark, sf_dir, samples):
+    """Samples of interlaced blocks by line and column of their macroblock."""
+    rows = samples.select("block_id", F.posexplode("out").alias("place", "value"))
+    line = B.line_of(F.col("block_id") % 4, F.floor(F.col("place") / 8), True)
+    return rows.select("block_id", line.alias("line"), (F.col("place") % 8).cast("long").alias("x"), "value")
+
+
+def put_block_ilace(spark, sf_dir):
+    return _ilace(spark, sf_dir, carriers.blocks(spark, sf_dir).select("block_id", B.put_block(B.idct(F.col("coeffs"))).alias("out")))
+
+
+def add_block_ilace(spark, sf_dir):
+    return _ilace(spark, sf_dir, _both(spark, sf_dir).select("block_id", B.add_block(B.idct(F.col("coeffs")), F.col("pixels")).alias("out")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -92,6 +107,8 @@ QUERIES = {
         add_block,
         add_block_dc,
         put_block_ilace_rows,
+        put_block_ilace,
+        add_block_ilace,
         loop_filter_edge,
         block_variance,
     )
@@ -130,6 +147,7 @@ def _pass(source: str, group: str, along: str, name: str, first: bool) -> str:
 _IDCT = _COEFFS + "," + _pass("c", "y", "x", "r", True) + "," + _pass("r", "x", "y", "q", False) + f""",
 o as (select block_id, y * 8 + x as place, {_WRAP.format('v')} as value from q)
 """
+_LINE = "block_id % 4 // 2 * 16 + block_id % 4 % 2 + place // 8 * 2"
 _CLAMP = "least(greatest({0}, 0), 255)"
 
 ORACLES = {
@@ -141,6 +159,8 @@ ORACLES = {
     "put_block_dc": _COEFFS + f"select block_id, unnest(range(64)) as place, {_CLAMP.format(_WRAP.format('dc + 128'))} as value from dc",
     "add_block": _IDCT + f"select block_id, place, {_CLAMP.format(_WRAP.format('value + p'))} as value from o join px using (block_id, place)",
     "add_block_dc": _COEFFS + f"select block_id, place, {_CLAMP.format(_WRAP.format('dc + p'))} as value from dc join px using (block_id)",
+    "put_block_ilace": _IDCT + f"select block_id, {_LINE} as line, place % 8 as x, {_CLAMP.format(_WRAP.format('value + 128'))} as value from o",
+    "add_block_ilace": _IDCT + f"select block_id, {_LINE} as line, place % 8 as x, {_CLAMP.format(_WRAP.format('value + p'))} as value from o join px using (block_id, place)",
     "put_block_ilace_rows": """select vec_id as block_id, r as row, ((vec_id % 4) // 2 * 16 + vec_id % 4 % 2 + r * 2)::bigint as line_interlaced,
   (vec_id % 4 * 8 + r)::bigint as line from (select *, unnest(range(8)) as r from embeddings)""",
     "loop_filter_edge": _COEFFS

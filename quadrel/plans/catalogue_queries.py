@@ -8,6 +8,7 @@ from ..operators import catalogue as C
 from ..operators import formats as P
 from ..operators import headers as H
 from ..sources import carriers
+from .format_queries import _TEXTS
 
 
 def reference_frames(spark, sf_dir):
@@ -38,9 +39,42 @@ def stream_catalogue(spark, sf_dir):
     )
 
 
-QUERIES = {"reference_frames": reference_frames, "stream_catalogue": stream_catalogue}
+ERRORS = (*C.STATUS_OF_ERROR, "Unheard")
+KINDS = (*C.BUFFER_KINDS, "data", "none")
+
+
+def record_texts(spark, sf_dir):
+    """Texts and statuses for every customer, as if its key chose a format, an error, a kind of buffer and a component."""
+    n = F.col("c_custkey")
+    pick = lambda names, by: F.element_at(F.array(*[F.lit(x) for x in names]), (by % len(names)).cast("int") + 1)
+    rows = carriers.table(spark, sf_dir, "customer").select("c_custkey", (n % 1920 + 1).alias("w"), (n % 1080 + 1).alias("h"), pick([f[0] for f in P.FORMATS], n).alias("wanted"))
+    joined = rows.join(F.broadcast(P.pixel_formats(spark)), F.col("wanted") == F.col("name"))  # seven formats
+    view = C.buffer_view(pick(KINDS, n))
+    return joined.select(
+        "c_custkey",
+        C.describe_video(C.video_info(F.col("w"), F.col("h"), n % 2 == 0, F.col), F.col).alias("video"),
+        C.status_of(F.when(n % 9 != 0, pick(ERRORS, n))).alias("status"),
+        C.buffer_offset(F.array(n * 0, n * 3, n * 5), (n % 5).cast("int")).alias("offset"),
+        view["has_video"].alias("has_video"),
+        view["view_bits"].cast("long").alias("view_bits"),
+        view["text"].alias("buffer"),
+        C.vector_text(n - 700, -n).alias("vector"),
+    )
+
+
+QUERIES = {"record_texts": record_texts, "reference_frames": reference_frames, "stream_catalogue": stream_catalogue}
+
+_FORMAT_TEXTS = ", ".join(f"({k}, '[Formaton for {_TEXTS[f[0]][1]}:  {_TEXTS[f[0]][2]}]')" for k, f in enumerate(P.FORMATS))
 
 ORACLES = {
+    "record_texts": f"""
+with f(k, text) as (values {_FORMAT_TEXTS}),
+c as (select c_custkey, c_custkey as n, text from customer join f on c_custkey % 7 = k)
+select c_custkey, (n % 1920 + 1) || 'x' || (n % 1080 + 1) || ' ' || text as video,
+  case when n % 9 = 0 then 'OK' else ['ShortData', 'InvalidData', 'InvalidData', 'AllocError', 'AllocError', 'InvalidData'][n % 6 + 1] end as status,
+  case n % 5 when 1 then n * 3 when 2 then n * 5 else 0 end::bigint as offset,
+  n % 6 < 4 as has_video, [8, 8, 16, 32, null, null][n % 6 + 1]::bigint as view_bits, ['8-bit', 'packed', '16-bit', '32-bit', 'Data buffer', 'No buffer'][n % 6 + 1] as buffer,
+  (n - 700) || ',' || (-n) as vector from c""",
     "reference_frames": """
 with p as (select user_id as stream_id, event_id as pkt_no, ('0x' || substr(md5(event_id::varchar), 1, 2))::bigint as b from events),
 f as (select stream_id, pkt_no, b < 128 as is_intra, (b >> 1) & 63 > 55 as is_golden from p),

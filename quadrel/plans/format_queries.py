@@ -60,6 +60,35 @@ def plane_layout(spark, sf_dir):
     return laid.select("p_partkey", "name", "kind", *texts, "size")
 
 
+BROKEN = ("broken", "YUV", "YUVJ", 3, [P.FORMATS[0][4][0], None, P.FORMATS[0][4][2], None, None], 0, False, False, False)
+LAYOUT_FORMATS = ("yuv420", "pal8", "rgb565", "rgb24", "broken")
+
+
+def layout_errors(spark, sf_dir):
+    """Layouts of pictures of up to 2**39 by 2**39 samples, and of a format without its second component."""
+    n = F.col("p_partkey")
+    power = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), (x % 40).cast("int"))
+    sizes = carriers.table(spark, sf_dir, "part").select("p_partkey", power(n).alias("width"), power(n * 7).alias("height"))
+    every = sizes.withColumn("wanted", F.explode(F.array(*[F.lit(f) for f in LAYOUT_FORMATS])))
+    known = P.pixel_formats(spark).union(spark.createDataFrame([BROKEN], P.FORMAT_SCHEMA))
+    return P.plane_layout(every.join(F.broadcast(known), F.col("wanted") == F.col("name"))).select("p_partkey", "name", "status", F.col("size").cast("string").alias("size"))  # eight formats
+
+
+def colour_models(spark, sf_dir):
+    """What is known of the colour model of each part, as if its key chose one."""
+    n = F.col("p_partkey")
+    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (n % len(MODELS)).cast("int") + 1)
+    submodel = F.when(model == "RGB", F.when(n % 2 == 0, "RGB").otherwise("sRGB")).otherwise(F.element_at(F.array(*[F.lit(m) for m in ("YCbCr", "YIQ", "YUVJ")]), (n % 3).cast("int") + 1))
+    return carriers.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        long(P.default_components(model)).alias("n_components"),
+        P.is_model(model, "RGB").alias("is_rgb"),
+        P.is_model(model, "YUV").alias("is_yuv"),
+        P.model_short_name(model).alias("short_name"),
+        P.describe_model(model, submodel).alias("text"),
+    )
+
+
 def scan_order_update(spark, sf_dir):
     """Scan orders from 63 four-bit bands per block, and from the two default tables."""
     bands = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.slice("coeffs", 2, 63), lambda x: F.pmod(x, F.lit(16))))
@@ -72,7 +101,10 @@ def scan_order_update(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (component_sizes, format_depths, format_short_name, plane_layout, scan_order_update)}
+MODELS = ("RGB", "YUV", "CMYK", "HSV", "LAB", "XYZ")
+QUERIES = {
+    f.__name__: f for f in (component_sizes, format_depths, format_short_name, plane_layout, layout_errors, colour_models, scan_order_update)
+}
 
 _PARTS = """with p as (select p_partkey, coalesce(p_size, 1) as s, p_partkey % 1920 + 1 as w, p_partkey % 1080 + 1 as h from part),
 c as (select *, s % 3 as hs, s // 3 % 3 as vs, s % 2 = 0 as packed, s % 16 + 1 as d, s % 5 as sh from p),
@@ -100,6 +132,17 @@ select p_partkey, name, 'video' as kind,
 union all by name select p_partkey, 'pal8' as name, 'video' as kind, '0,' || (((w * 8 + 7) >> 3) * h) as offsets, '' || ((w * 8 + 7) >> 3) as strides, ((w * 8 + 7) >> 3) * h + 768 as size from p
 union all by name select p_partkey, 'rgb565' as name, 'video16' as kind, '' as offsets, '' || w as strides, w * h as size from p
 union all by name select p_partkey, 'rgb24' as name, 'packed' as kind, '' as offsets, '' || (w * 3) as strides, w * 3 * h as size from p""",
+    "layout_errors": f"""
+with p as (select p_partkey, 1::hugeint << (p_partkey % 40)::int as w0, 1::hugeint << (p_partkey * 7 % 40)::int as h0 from part),
+a as (select p_partkey, (w0 + 15) // 16 * 16 as w, (h0 + 15) // 16 * 16 as h from p),
+s as (select p_partkey, name, case name when 'yuv420' then w * h + 2 * ((w // 2) * (h // 2)) when 'pal8' then w * h + 768 when 'rgb565' then w * h when 'rgb24' then 3 * w * h end as size
+  from a, (values {', '.join(f"('{n}')" for n in LAYOUT_FORMATS)}) as f(name))
+select p_partkey, name, case when size is null then 'FormatError' when size > 9223372036854775807 then 'TooLargeDimensions' else 'OK' end as status,
+  case when size <= 9223372036854775807 then size end::varchar as size from s""",
+    "colour_models": """
+with m as (select p_partkey, ['RGB', 'YUV', 'CMYK', 'HSV', 'LAB', 'XYZ'][p_partkey % 6 + 1] as m, p_partkey % 2 = 0 as even, ['YCbCr', 'YIQ', 'YUVJ'][p_partkey % 3 + 1] as sub from part)
+select p_partkey, case when m = 'CMYK' then 4 else 3 end::bigint as n_components, m = 'RGB' as is_rgb, m = 'YUV' as is_yuv, lower(m) as short_name,
+  case m when 'RGB' then case when even then 'RGB(RGB)' else 'RGB(sRGB)' end when 'YUV' then 'YUV(' || sub || ')' else m end as text from m""",
     "scan_order_update": f"""
 with b as (select vec_id as block_id, place, case when place = 0 then 0 else ((floor(embedding[place + 1]::double * 2000)::bigint % 16) + 16) % 16 end as band
     from (select *, unnest(range(64)) as place from embeddings)
