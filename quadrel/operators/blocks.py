@@ -76,8 +76,13 @@ def _pass(value, wrap, bias: int) -> Column:
     return F.transform(F.transform(lines, lambda p: _struct(_turned(p, mul16))), lambda t: F.array(*_outputs(t)))
 
 
+def is_whole(coeffs: Column) -> Column:
+    """Whether a block has 64 coefficients and none is null."""
+    return F.coalesce((F.size(coeffs) == 64) & F.forall(coeffs, lambda x: x.isNotNull()), F.lit(False))
+
+
 def idct(coeffs: Column) -> Column:
-    """Inverse transform of 64 coefficients in an array, rows first."""
+    """Inverse transform of 64 coefficients in an array, rows first; null for a block that is not whole."""
     rows = _pass(lambda r, k: long(F.get(coeffs, r * 8 + k)), wrap16, 0)
     # One-element transforms bind an array once for all that reads it.
     columns = F.transform(F.array(F.flatten(rows)), lambda t: _pass(lambda c, k: F.get(t, c + 8 * k), lambda x: x, 8))
@@ -85,7 +90,7 @@ def idct(coeffs: Column) -> Column:
     out = F.transform(
         flat, lambda v: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: wrap16(shr(F.get(v, i % 8 * 8 + F.floor(i / 8).cast("int")), 4)))
     )
-    return F.get(out, F.lit(0))
+    return F.when(is_whole(coeffs), F.get(out, F.lit(0)))
 
 
 def idct_dc(dc: Column) -> Column:
@@ -126,14 +131,14 @@ def idct_numpy(coeffs: np.ndarray) -> np.ndarray:
 
 
 def idct_batch(blocks: DataFrame) -> DataFrame:
-    """(block_id, out): inverse transform of ``coeffs``, whole Arrow batches at a time."""
+    """(block_id, out): inverse transform of ``coeffs``, whole Arrow batches at a time; null for a block that is not whole."""
 
     def run(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            out = idct_numpy(flat.reshape(-1, 64)).astype(np.int64).reshape(-1)
-            offsets = pa.array(np.arange(0, len(out) + 1, 64, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(out))], names=["block_id", "out"])
+            whole = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            out = idct_numpy(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 64)).astype(np.int64).reshape(-1)
+            ends = np.concatenate(([0], 64 * whole.cumsum())).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out), mask=pa.array(~whole))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["block_id", "out"])
 
-    whole = blocks.where((F.size("coeffs") == 64) & F.forall("coeffs", lambda x: x.isNotNull()))
-    return map_arrow(whole.select("block_id", "coeffs"), run, "block_id long, out array<long>")
+    return map_arrow(blocks.select("block_id", F.when(is_whole(F.col("coeffs")), F.col("coeffs"))), run, "block_id long, out array<long>")
