@@ -228,6 +228,50 @@ def test_pages_without_marks_are_differenced(spark):
     assert html_text.page_text(df.limit(0)).count() == 0
 
 
+def brute_texts(pages):
+    """{id: text} of pages given as (id, host, path, lines): lines that the nearer neighbour by path shares go."""
+    def lcs(a, b):
+        best = [[[] for _ in range(len(b) + 1)] for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + [x] if x == y else max(best[i][j + 1], best[i + 1][j], key=len)
+        return best[-1][-1]
+
+    def near(p, q):
+        return next((k for k, (x, y) in enumerate(zip(p.split("/"), q.split("/"))) if x != y), min(p.count("/"), q.count("/")) + 1)
+
+    out = {}
+    for i, host, path, own in pages:
+        on_host = sorted((p for p in pages if p[1] == host), key=lambda p: (p[2], p[0]))
+        at = [p[0] for p in on_host].index(i)
+        sides = [next((p for p in side if p[3] != own), None) for side in (on_host[:at][::-1], on_host[at + 1 :])]
+        sides = [p for p in sides if p]
+        # The earlier page wins a tie.
+        best = max(sides, key=lambda p: near(path, p[2])) if sides else None
+        out[i] = " ".join(t for t in own if best is None or t not in lcs(own, best[3]))
+    return out
+
+
+def test_unmarked_pages_equal_brute_force(spark):
+    rng = random.Random(17)
+    frame = [f"Frame line {k}" for k in range(8)]
+    pages = []
+    for i in range(150):
+        host, path = f"h{rng.randrange(6)}.net", "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) + f"/{i:03}"
+        top = [t for t in frame[:4] if rng.random() < 0.8]
+        end = [t for t in frame[4:] if rng.random() < 0.8]
+        pages.append((i, host, path, [*top, *(f"Story {i} part {k}." for k in range(rng.randrange(4))), *end]))
+    for k in range(20):
+        i, host, path, own = rng.choice(pages[:150])
+        pages.append((200 + k, host, f"{path}x{k:02}", own))
+    rows = [(i, f"http://{host}{path}", "".join(f"<div>{t}</div>" for t in own)) for i, host, path, own in pages]
+    out = {r["page_id"]: r["text"] for r in html_text.page_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    expected = brute_texts(pages)
+    assert len(out) == len(rows) and sum(out[i] == expected[i] for i in out) == len(rows)
+    # Without differencing nearly every text would be another one.
+    assert sum(expected[i] != " ".join(own) for i, _, _, own in pages) > 0.8 * len(pages)
+
+
 def test_shared_paragraphs_of_marked_articles_stay(spark):
     page = lambda k: FRAME.format(k, f"<article><p>Same words.</p><p>Part {k}</p></article>")
     df = spark.createDataFrame([(i, f"http://h.net/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
