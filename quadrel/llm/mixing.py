@@ -158,7 +158,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle=CYCLE) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it, columns unchanged.
 
-    Only the cuts, one row per source, are joined to the rows.
+    Only the cuts, one row per source, are joined to the rows. A null text
+    has no words and goes like any other row by its hash; null ids share one
+    hash, rows that repeat an id come equally often, and a null source is one
+    of its own. An empty table gives no rows.
     """
     cuts = _cuts(_sized(docs, id_col, text_col, source_col), cycle)
     at, base, cut = (free_name(docs, n) for n in ("mix_source", "mix_base", "mix_cut"))

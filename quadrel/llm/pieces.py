@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is compiled from a model file: a normaliser that marks spaces
-and adds the dummy prefix, one arc per piece over a prefix tree, and byte
-arcs for characters that no piece spells. Composed with an input it gives a
+The transducer is compiled from a model file: a normaliser that maps
+characters, marks spaces and adds the dummy prefix, one arc per piece over a
+prefix tree, and byte arcs for characters that no piece spells. Composed with an input it gives a
 lattice, and the encoding is the shortest path in the tropical semiring.
 
 For unigram models an arc weighs minus its piece's score. In BPE models an
@@ -15,6 +15,7 @@ of the input is reached by one piece only.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -65,6 +66,76 @@ def _fields(data: bytes):
             yield key >> 3, data[at - size : at]
 
 
+def character_map(data: bytes) -> dict[str, str]:
+    """The rules of a model's character map: a double-array trie of the UTF-8 bytes of what is replaced, and its replacements.
+
+    A unit of the array holds the label of its arc, the place of its node's
+    arcs, and whether the node ends a key; a key's unit for the empty label
+    tells where its replacement starts.
+    """
+    if not data:
+        return {}
+    size = int.from_bytes(data[:4], "little")
+    units, texts = np.frombuffer(data[4 : 4 + size], "<u4").astype(np.int64), data[4 + size :]
+    moves = (units >> 10) << ((units & 512) >> 6)
+    labels, found, open_ = np.arange(1, 256), {}, [(0 ^ int(moves[0]), b"")]
+    while open_:
+        base, key = open_.pop()
+        places = base ^ labels
+        places, names = places[places < len(units)], labels[places < len(units)]
+        for place, name in zip(places[hit := (units[places] & 0x800000FF) == names].tolist(), names[hit].tolist()):
+            longer, after = key + bytes([name]), place ^ int(moves[place])
+            if units[place] >> 8 & 1:
+                start = int(units[after] & 0x7FFFFFFF)
+                found[longer.decode()] = texts[start : texts.index(b"\0", start)].decode()
+            open_.append((after, longer))
+    return found
+
+
+class Normaliser:
+    """The first part of the transducer, compiled from a model's character map and its rules about spaces.
+
+    Of the map's keys the longest at each place is replaced; keys of one
+    character are a table, and longer ones are looked for only where a first
+    and a second character of such a key follow each other.
+    """
+
+    def __init__(self, rules: dict[str, str], prefix: bool, squeeze: bool, escape: bool):
+        self.rules, self.prefix, self.squeeze, self.escape = rules, prefix, squeeze, escape
+        self.single = {ord(k): v for k, v in rules.items() if len(k) == 1}
+        long = [k for k in rules if len(k) > 1]
+        self.lengths: dict = {}
+        for k in long:
+            self.lengths.setdefault(k[0], set()).add(len(k))
+        one_of = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+        self.start = re.compile(f"{one_of({k[0] for k in long})}(?={one_of({k[1] for k in long})})") if long else None
+
+    def mapped(self, text: str) -> str:
+        if not self.rules:
+            return text
+        out, at = [], 0
+        for m in self.start.finditer(text) if self.start else ():
+            i = m.start()
+            key = i >= at and next((text[i : i + n] for n in sorted(self.lengths[text[i]], reverse=True) if text[i : i + n] in self.rules), None)
+            if key and len(key) > 1:
+                out += [text[at:i].translate(self.single), self.rules[key]]
+                at = i + len(key)
+        return "".join([*out, text[at:].translate(self.single)])
+
+    def __call__(self, text: str) -> str:
+        whole, text = text, self.mapped(text)
+        if self.squeeze:
+            whole = text = " ".join(x for x in text.split(" ") if x)
+        # A text of characters that map to nothing still gets its prefix.
+        if self.prefix and whole:
+            text = " " + text
+        if not self.escape:
+            return text
+        text = text.replace(" ", SPACE)
+        # Marks that the text itself ends with go like the spaces they stand for.
+        return text.rstrip(SPACE) if self.squeeze else text
+
+
 class Transducer:
     """The compiled model. Small enough to broadcast: its size is that of the vocabulary."""
 
@@ -84,8 +155,7 @@ class Transducer:
                 spec = dict(_fields(value))
                 charsmap = spec.get(2, b"")
                 self.prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        if charsmap:
-            raise ValueError("only models with the identity character map can be compiled")
+        self.normalise = Normaliser(character_map(charsmap), self.prefix, self.squeeze, self.escape)
         self.unknown = self.types.index(UNKNOWN)
         self.byte_ids = [-1] * 256
         self.ids: dict[str, int] = {}
@@ -127,13 +197,6 @@ class Transducer:
         self.__dict__.update(state)
         self._compile()
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = " ".join(x for x in text.split(" ") if x)
-        if self.prefix and text:
-            text = " " + text
-        return text.replace(" ", SPACE) if self.escape else text
-
     def fallback(self, char: str) -> list[int]:
         found = [self.byte_ids[b] for b in char.encode()]
         return [self.unknown] if -1 in found else found
@@ -280,7 +343,8 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text
     """One row per document: doc_id and ids, the piece ids of its whole text.
 
     Null text gives null ids, an empty one no ids. Ids of rows pass through,
-    null and repeated ones too. The model is read by the driver only.
+    null and repeated ones too; equal texts get equal ids. An empty table
+    gives no rows. The model is read by the driver only.
     """
     held = _sent(docs, path)
 
@@ -296,7 +360,12 @@ def encode(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text
 
 
 def decode(coded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give null text."""
+    """(doc_id, text) of (doc_id, ids).
+
+    Null ids give null text and no ids an empty one. Row ids pass through,
+    null and repeated ones too; an empty table gives no rows. What the
+    normaliser changed does not come back.
+    """
     held = _sent(coded, path)
 
     def run(batches):
@@ -312,7 +381,8 @@ def encoded_digests(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_
 
     ``ids_digest`` is the hex xxHash64 of the ids as little-endian 32-bit
     numbers. ``round_trip`` tells whether decoding gives the text back. Null
-    text counts as empty.
+    text counts as empty. Row ids pass through, null and repeated ones too;
+    an empty table gives no rows.
     """
     held = _sent(docs, path)
 

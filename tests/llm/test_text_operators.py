@@ -436,6 +436,20 @@ def test_pieces_match_the_library(processor):
         assert t.decode(coded) == processor.decode(ids), text
 
 
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_character_maps_match_the_library(rule, squeeze):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=squeeze)
+    spec = next(dict(pieces._fields(v)) for k, v in pieces._fields(library.serialized_model_proto()) if k == 3)
+    own = pieces.Normaliser(pieces.character_map(spec.get(2, b"")), True, squeeze, True)
+    assert bool(own.rules) == (rule != "identity")
+    rng = random.Random(19)
+    letters = "aeE\u0301\u0308\u0327ＡＢ１\u3000 \t\n\u00a0ﬁ①㍿가\u1100\u1161\u11a8ｶ\uff9e\u200b\u00ad\u1e9b\u0323ǅß▁İ\x07"
+    for text in CASES + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]:
+        assert own(text) == library.Normalize(text), text
+
+
 def test_pieces_as_columns(spark, processor):
     rows = [(i, x) for i, x in enumerate(CASES)] + [(None, "a b"), (99, None), (98, "word " * 40_000)]
     docs = docs_of(spark, rows)
