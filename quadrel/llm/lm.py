@@ -37,7 +37,8 @@ KEYS_PER_OWNER = 1_000_000
 #: The end of a text, also the context of its first word. No word holds a space.
 END = xxhash.xxh3_64_intdigest(b" end")
 BUCKETS = 48
-BIN = 0.25
+#: Width of a bin of logarithms, the bin of 0, and the last one: from -16 to 32, which no corpus leaves.
+BIN, ZERO_BIN, LAST_BIN = 0.25, 64, 192
 EM_ROUNDS = 50
 
 _A = np.uint64(0xFF51AFD7ED558CCD)
@@ -237,7 +238,7 @@ def _bucket(count: np.ndarray) -> np.ndarray:
 def _bins(p: np.ndarray, p0: float) -> np.ndarray:
     """Bins of log(p / p0), -1 where p is 0."""
     logs = np.log(np.maximum(p, 1e-300) / p0)
-    return np.where(p > 0, np.clip(np.round(logs / BIN) + 100, 0, 500), -1).astype(np.int64)
+    return np.where(p > 0, np.clip(np.round(logs / BIN) + ZERO_BIN, 0, LAST_BIN), -1).astype(np.int64)
 
 
 def _histogram(joined: DataFrame, n_train: int, n_dev: int, n_words: int) -> DataFrame:
@@ -269,7 +270,7 @@ def mixture(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     these is added, so a bucket without held-out tokens keeps them.
     """
     bucket, bin1, bin2 = cells // 1_000_000, cells // 1000 % 1000 - 1, cells % 1000 - 1
-    ratio = lambda b: np.where(b >= 0, np.exp((b - 100) * BIN), 0.0)
+    ratio = lambda b: np.where(b >= 0, np.exp((b - ZERO_BIN) * BIN), 0.0)
     p = np.stack([np.ones(len(cells)), ratio(bin1), ratio(bin2)], axis=1)
 
     def fit(rows, start, prior):
@@ -346,7 +347,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     n_words = words.agg(F.sum("n_distinct")).first()[0] or 0
     pairs = exchange(_bigram_requests(chunks, owners), "pairs")
     joined = chunks.join(_gathered(words, "word_counts"), "chunk").join(_gathered(pairs, "pair_counts"), "chunk")
-    bins = _histogram(joined.where("dev"), n_train, n_dev, n_words).collect()  # at most BUCKETS * 501**2 rows, by its bins
-    cells = np.array([r["cell"] for r in bins], np.int64)
-    weights = mixture(cells, np.array([r["n"] for r in bins], np.float64))
+    # At most BUCKETS * 194**2 rows of two numbers, 29 MB, however large the corpus is.
+    bins = _histogram(joined.where("dev"), n_train, n_dev, n_words).toArrow()
+    cells, counts = (bins.column(c).to_numpy().astype(np.int64) for c in ("cell", "n"))
+    order = np.argsort(cells)
+    weights = mixture(cells[order], counts[order].astype(np.float64))
     return _scores(joined, weights, n_train, n_words)
