@@ -473,3 +473,38 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     assert counts == {i: n for i, n in taken.items() if n}
     final = {r["doc_id"]: r["n"] for r in corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.count("ids").alias("n")).collect()}
     assert final == counts
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids, texts and sources, empty texts, repeated rows, and columns that clash with the operators' own."""
+    rng = random.Random(10)
+    prose = lambda k: " ".join(rng.choice(["the", "of", "river", "stone", "walked", "under", "light"]) for _ in range(60)) + f" n{k}"
+    text = prose(0)
+    rows = [(i, prose(i), "a") for i in range(40)] + [(50, text, "a"), (50, text, "a"), (51, text, None), (None, text, "b"), (None, None, None), (60, None, "b"), (61, "", "b")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, component_id string, dropped int, slot string, times int, ids string, id string"
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), "c", 1, "s", 2, "x", "y") for i, t, s in rows], schema)
+    home = str(tmp_path)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (3, None), (4, 7)], "doc_id long, quality int")
+    labels.write.parquet(f"{home}/labels.parquet")
+    by_name = dict(corpus_pipeline.STAGES)
+    for frame in (docs, docs.limit(0)):
+        n = frame.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, home)
+            assert out.columns == docs.columns and (n or out.count() == 0), name
+        assert by_name["sentencepiece"](spark, frame, home).count() == n
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in by_name["near_dedup"](spark, docs, home).collect())
+    # Of the copies of one text the lowest id stays, with both its rows; null ids, null and empty texts stay.
+    assert kept.count((False, 50, text)) == 2 and (False, 51, text) not in kept
+    assert sum(k[0] for k in kept) == 2 and (False, 60, "") in kept and (False, 61, "") in kept
+    assert len(kept) == len(rows) - 1
+    clean = by_name["secret_scans"](spark, docs, home).collect()
+    assert len(clean) == len(rows) and sum(r["text"] is None for r in clean) == 2 and all(r["n_chars"] == len(r["text"]) for r in clean if r["text"])
+    times = by_name["mixing"](spark, docs, home).groupBy("doc_id", "text").count().collect()
+    assert all(r["count"] <= 4 for r in times)
+    coded = {(r["doc_id"], r["ids"] is None) for r in by_name["sentencepiece"](spark, docs, home).collect()}
+    assert (60, True) in coded and (61, False) in coded
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    labels.limit(0).write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
