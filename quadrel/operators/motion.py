@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import bilinear, four_tap, long, shr, trunc_div, wrap16
 from ..functions.tables import NEIGHBOURS
+from ..session import map_arrow
+from .blocks import is_whole
 
 
 def vector_parts(mv: Column, luma: bool) -> dict[str, Column]:
@@ -61,6 +65,33 @@ def interpolate(pixels: Column, mx: int, my: int, taps: tuple | None = None) ->
     return F.transform(places, lambda i: four_tap([along(i, d) for d in (-1, 0, 1, 2)], ty))
 
 
+def interpolate_batch(blocks: DataFrame, mx: int, my: int, taps: tuple | None = None) -> DataFrame:
+    """(block_id, out): as ``interpolate`` on the ``pixels`` of whole Arrow batches; null for a block that is not whole."""
+
+    def along(rows, weights):
+        return np.clip(sum(r * w for r, w in zip(rows, weights)) + 64 >> 7, 0, 255)
+
+    def computed(area):
+        # Areas have a border of one sample before and two behind the block.
+        if taps is None:
+            wide = (area[:, :, 1:9] * (8 - mx) + area[:, :, 2:10] * mx + 4) >> 3 if mx else area[:, :, 1:9]
+            return (wide[:, 1:9] * (8 - my) + wide[:, 2:10] * my + 4) >> 3 if my else wide[:, 1:9]
+        tx, ty = taps
+        wide = area[:, :, 1:9] if tx[1] == 128 and ty[1] != 128 else along([area[:, :, k : k + 8] for k in range(4)], tx)
+        return wide[:, 1:9] if ty[1] == 128 else along([wide[:, k : k + 8] for k in range(4)], ty)
+
+    def run(batches):
+        for batch in batches:
+            whole = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8)
+            out = computed(np.pad(flat, ((0, 0), (1, 2), (1, 2)), "edge")).astype(np.int64).reshape(-1)
+            ends = np.concatenate(([0], 64 * whole.cumsum())).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(out), mask=pa.array(~whole))], names=["block_id", "out"])
+
+    pixels = F.col("pixels").cast("array<bigint>")
+    return map_arrow(blocks.select("block_id", F.when(is_whole(pixels), pixels)), run, "block_id long, out array<long>")
+
+
 def neighbour_vectors(grid: DataFrame) -> DataFrame:
     """Nearest and near vector of every macroblock, from its neighbours with the same reference.
 

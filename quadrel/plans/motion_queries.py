@@ -46,7 +46,7 @@ def edge_emulation(spark, sf_dir):
 
 def _interpolated(mx, my, taps=None):
     def query(spark, sf_dir):
-        found = carriers.samples(spark, sf_dir).select("block_id", M.interpolate(F.col("pixels"), mx, my, taps).alias("out"))
+        found = M.interpolate_batch(carriers.samples(spark, sf_dir), mx, my, taps)
         return found.select("block_id", F.posexplode("out").alias("place", "value")).select("block_id", long(F.col("place")).alias("place"), "value")
 
     return query

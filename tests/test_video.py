@@ -56,6 +56,11 @@ def test_prediction_forms_agree(spark):
         assert got == decoder.two_tap(area, mx, my).reshape(-1).tolist()
         got = df.select(motion.interpolate(F.col("pixels"), mx, my, (taps[mx], taps[my])).alias("o")).first()["o"]
         assert got == decoder.four_tap(area, taps[mx], taps[my]).reshape(-1).tolist()
+    for mx, my, chosen in ((3, 0, None), (0, 3, None), (5, 6, None), (3, 0, (taps[3], taps[0])), (0, 6, (taps[0], taps[6])), (3, 6, (taps[3], taps[6])), (0, 0, (taps[0], taps[0]))):
+        got = motion.interpolate_batch(df.select(F.lit(1).cast("long").alias("block_id"), "pixels"), mx, my, chosen).first()["out"]
+        assert got == df.select(motion.interpolate(F.col("pixels"), mx, my, chosen).alias("o")).first()["o"]
+    odd = spark.createDataFrame([(1, None), (2, [1])], "block_id long, pixels array<long>")
+    assert [r["out"] for r in motion.interpolate_batch(odd, 1, 1).collect()] == [None, None]
     assert df.select(motion.edge_block(F.col("pixels"), -2, -2).alias("o")).first()["o"] == area.reshape(-1).tolist()
 
 
