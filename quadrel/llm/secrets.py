@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_arrow
-from .common import small_batches
+from .common import materialise, small_batches
 
 # Fixed values of the scan's contract: kinds in order, with their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -40,7 +40,7 @@ DRIFT = 2.0
 SIGNS = "+/_=-"
 CHARS = string.ascii_letters + string.digits + "+/_=-"
 EDGE = len(CHARS)
-#: Bound of the training sample: distinct words of all documents.
+#: Bound of the training sample: so many distinct words of all documents, about.
 SAMPLE_WORDS = 20_000
 ORDINARY = r"\b(?:[A-Za-z][a-z]{2,39}|[A-Z]{3,40})\b"
 
@@ -216,13 +216,16 @@ def generated_samples(n: int = 8000, seed: int = 13) -> list[str]:
 def ordinary_samples(docs: DataFrame, text_col: str) -> list[str]:
     """Labelled ordinary identifiers: words of whole documents, single and joined.
 
-    Of the distinct words of all documents, those ``SAMPLE_WORDS`` with the
-    lowest hashes are taken, so reruns agree. Ordinary are words of letters
+    Of the distinct words of all documents, those with the lowest hashes are
+    taken, some ``SAMPLE_WORDS`` of them, so reruns agree and the driver gets
+    no more, however many words there are. Ordinary are words of letters
     alone that are in one case but for their first letter, which leaves out
     unknown secrets of mixed signs.
     """
     words = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(ORDINARY), F.lit(0)))
-    chosen = docs.select(F.explode(words).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS)
+    known = materialise(docs.select(F.explode(words).alias("w")).distinct(), "words")
+    share = min(1.0, SAMPLE_WORDS / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("w"), F.lit(1 << 40)) < int(share * (1 << 40)))
     found = sorted(r["w"] for r in chosen.collect() if not base_spans(r["w"]))
     rng = random.Random(11)
     rng.shuffle(found)
