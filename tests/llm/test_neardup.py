@@ -1,3 +1,4 @@
+import os
 import random
 from itertools import combinations
 
@@ -151,3 +152,13 @@ def test_components(spark, shape):
                 root[a] = root[b] = min(root[a], root[b])
     assert out == root
     assert components(spark.createDataFrame([], "a long, b long").where(F.lit(True))).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="sample tables are absent")
+def test_sample_documents_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs, 3, 85).collect()}
+    expected = brute(rows, 3, 85)
+    assert out == expected
+    assert sum(c != i for i, (_, c) in expected.items()) > 50
