@@ -22,9 +22,10 @@ TOTAL_SHARE = 1.5
 MAX_REPEAT = 2
 
 
-def row_hash(key: Column) -> Column:
-    """60 bits of the MD5 of the key's text, as LONG; a null key hashes as ''."""
-    text = F.coalesce(key.cast("string"), F.lit(""))
+def row_hash(key: Column, text: Column | None = None) -> Column:
+    """60 bits of the MD5 of the key's text, as LONG; a null key hashes as the row's ``text``, or as ''."""
+    rest = [] if text is None else [F.concat(F.lit("text "), text)]
+    text = F.coalesce(key.cast("string"), *rest, F.lit(""))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -127,7 +128,7 @@ def _refine(rows: DataFrame, state: DataFrame, shift: int) -> DataFrame:
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     columns = (F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    return materialise(docs.select(*columns, row_hash(F.col(id_col)).alias("h")), "mix")
+    return materialise(docs.select(*columns, row_hash(F.col(id_col), F.col(text_col)).alias("h")), "mix")
 
 
 def _cuts(rows: DataFrame, cycle) -> DataFrame:
@@ -144,9 +145,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per input row: doc_id, size, source_size, target, taken.
 
     Sizes count whole texts. Null text has size 0 and is taken 0 times; a
-    null source is a source of its own; a null id hashes as an empty one.
-    Rows that repeat an id share its hash and are taken alike, so the same
-    input always gives the same mix. An empty table gives no rows. Only the
+    null source is a source of its own; a row with a null id is told by its
+    text. Rows that repeat an id (or a text without an id) share a hash and
+    are taken alike, so the same input always gives the same mix. An empty table gives no rows. Only the
     three named columns are read; others may have any names.
     """
     rows = _sized(docs, id_col, text_col, source_col)
@@ -159,14 +160,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """The mix itself: the rows of ``docs``, each as often as the mix takes it, columns unchanged.
 
     Only the cuts, one row per source, are joined to the rows. A null text
-    has no words and goes like any other row by its hash; null ids share one
-    hash, rows that repeat an id come equally often, and a null source is one
-    of its own. An empty table gives no rows.
+    has no words and goes like any other row by its hash; rows without an id
+    are told by their texts, rows that repeat an id come equally often, and a
+    null source is one of its own. An empty table gives no rows.
     """
     cuts = _cuts(_sized(docs, id_col, text_col, source_col), cycle)
     at, base, cut = (free_name(docs, n) for n in ("mix_source", "mix_base", "mix_cut"))
     renamed = cuts.select(F.col("source").alias(at), F.col("base").alias(base), F.col("threshold").alias(cut))
     joined = docs.join(renamed, docs[source_col].eqNullSafe(renamed[at]))
-    times = F.col(base) + F.when(row_hash(docs[id_col]) < F.col(cut), 1).otherwise(0)
+    times = F.col(base) + F.when(row_hash(docs[id_col], docs[text_col]) < F.col(cut), 1).otherwise(0)
     copies = F.explode(F.array_repeat(F.lit(0), times.cast("int")))
     return joined.select(*[docs[c] for c in docs.columns], copies.alias(at)).drop(at)

@@ -72,7 +72,7 @@ QUERIES = {
 OP7_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-    ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h
+    ('0x' || substr(md5(coalesce(doc_id::varchar, 'text ' || text, '')), 1, 15))::bigint as h
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then 3 when 1 then 1 else 2 end as weight from s),

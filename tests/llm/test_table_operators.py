@@ -65,6 +65,13 @@ def test_mix_edges(spark):
     assert len({r["taken"] for r in same if r["doc_id"] == 7}) == 1
 
 
+def test_mix_of_rows_without_ids_meets_its_targets(spark):
+    rng = random.Random(6)
+    rows = [(None if i % 3 else i, f"w{i} " + "w " * rng.randrange(30), rng.choice("ab")) for i in range(1500)]
+    out = mixing.mix(mix_docs(spark, rows)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(out) == 2 and all(abs(r["taken"] - r["target"]) <= 31 for r in out)
+
+
 def test_repeated_rows_are_the_mix(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(1, 9), rng.choice("abc")) for i in range(300)]
