@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import bilinear, four_tap, long, shr, trunc_div, wrap16
 from ..functions.tables import NEIGHBOURS
-from ..session import map_arrow
+from ..session import map_arrow, ship
 from .blocks import is_whole
 
 
@@ -92,40 +93,44 @@ def interpolate_batch(blocks: DataFrame, mx: int, my: int, taps: tuple | None =
     return map_arrow(blocks.select("block_id", F.when(is_whole(pixels), pixels)), run, "block_id long, out array<long>")
 
 
+VECTORS = "pkt_no long, mb_x long, mb_y long, n_found long, nearest_x long, nearest_y long, near_x long, near_y long, pred_x long, pred_y long"
+
+
+def _picture_vectors(rows: pd.DataFrame) -> pd.DataFrame:
+    """``neighbour_vectors`` of one picture: twelve look-ups in its sorted places."""
+    whole = rows.notna().all(axis=1).to_numpy()
+    x, y, ref, mx, my = (rows[c].to_numpy(np.float64, na_value=0).astype(np.int64) for c in ("mb_x", "mb_y", "ref_id", "mv_x", "mv_y"))
+    moved = np.flatnonzero(whole & ((mx != 0) | (my != 0)))
+    # No picture is so wide that a place beside it is one of the next line.
+    place = (y << 32) + x
+    moved = moved[np.argsort(place[moved], kind="stable")]
+    n, zero = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    out = {c: zero.copy() for c in ("nearest_x", "nearest_y", "near_x", "near_y", "pred_x", "pred_y")}
+    for k, (dy, dx) in enumerate(NEIGHBOURS):
+        if not len(moved):
+            break
+        wanted = place + (dy << 32) + dx
+        at = moved[np.minimum(np.searchsorted(place[moved], wanted), len(moved) - 1)]
+        hit = whole & (place[at] == wanted) & (ref[at] == ref)
+        first = hit & (n == 0)
+        second = hit & (n == 1) & ((mx[at] != out["nearest_x"]) | (my[at] != out["nearest_y"]))
+        for names, rows_of in ((("nearest",) + (("pred",) if k < 2 else ()), first), (("near",), second)):
+            for name in names:
+                out[f"{name}_x"][rows_of], out[f"{name}_y"][rows_of] = mx[at][rows_of], my[at][rows_of]
+        n += first.astype(np.int64) + second
+    return pd.DataFrame({"pkt_no": rows["pkt_no"], "mb_x": rows["mb_x"], "mb_y": rows["mb_y"], "n_found": n, **out})
+
+
 def neighbour_vectors(grid: DataFrame) -> DataFrame:
     """Nearest and near vector of every macroblock, from its neighbours with the same reference.
 
     Neighbours are looked at in a fixed order; the first vector that is not
     zero is the nearest one, the first later one that differs is the near
     one, and the nearest one also predicts if it is among the first two
-    places. The twelve places are literals, and each
-    macroblock reads at most twelve others of its own picture.
+    places. Each picture is gathered once, which holds at most 255 by 255
+    macroblocks, one at each place. A row with a null has no neighbours and
+    is none.
     """
-    places = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for i, (y, x) in enumerate(NEIGHBOURS)])
-    wanted = grid.select("pkt_no", "mb_x", "mb_y", "ref_id", F.inline(places))
-    wanted = wanted.select("*", (F.col("mb_x") + F.col("dx")).alias("nx"), (F.col("mb_y") + F.col("dy")).alias("ny"))
-    near = grid.where("mv_x != 0 or mv_y != 0").select(
-        F.col("pkt_no").alias("p"), F.col("mb_x").alias("nx"), F.col("mb_y").alias("ny"), F.col("ref_id").alias("r"), "mv_x", "mv_y"
-    )
-    same = (F.col("pkt_no") == F.col("p")) & (F.col("ref_id") == F.col("r"))
-    found = wanted.join(near, ["nx", "ny"]).where(same)
-    order = Window.partitionBy("pkt_no", "mb_x", "mb_y").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = found.withColumn("first", F.first(F.struct("mv_x", "mv_y", "place")).over(order))
-    differs = (F.col("mv_x") != F.col("first.mv_x")) | (F.col("mv_y") != F.col("first.mv_y"))
-    summed = first.groupBy("pkt_no", "mb_x", "mb_y").agg(
-        F.first("first").alias("nearest"), F.min(F.when(differs, F.struct("place", "mv_x", "mv_y"))).alias("near")
-    )
-    zero = F.lit(0).cast("long")
-    predicts = F.col("nearest.place") < 2
-    return grid.join(summed, ["pkt_no", "mb_x", "mb_y"], "left").select(
-        "pkt_no",
-        "mb_x",
-        "mb_y",
-        (F.when(F.col("nearest").isNull(), 0).when(F.col("near").isNull(), 1).otherwise(2)).cast("long").alias("n_found"),
-        F.coalesce(F.col("nearest.mv_x"), zero).alias("nearest_x"),
-        F.coalesce(F.col("nearest.mv_y"), zero).alias("nearest_y"),
-        F.coalesce(F.col("near.mv_x"), zero).alias("near_x"),
-        F.coalesce(F.col("near.mv_y"), zero).alias("near_y"),
-        F.coalesce(F.when(predicts, F.col("nearest.mv_x")), zero).alias("pred_x"),
-        F.coalesce(F.when(predicts, F.col("nearest.mv_y")), zero).alias("pred_y"),
-    )
+    ship(grid.sparkSession)
+    rows = grid.select("pkt_no", *[F.col(c).cast("long") for c in ("mb_x", "mb_y", "ref_id", "mv_x", "mv_y")])
+    return rows.groupBy(F.col("pkt_no").cast("long").alias("pkt_no")).applyInPandas(_picture_vectors, VECTORS)

@@ -64,6 +64,23 @@ def test_prediction_forms_agree(spark):
     assert df.select(motion.edge_block(F.col("pixels"), -2, -2).alias("o")).first()["o"] == area.reshape(-1).tolist()
 
 
+def test_neighbour_vectors_equal_the_decoder(spark):
+    rng = random.Random(4)
+    rows = [(p, x, y, rng.randrange(3), rng.choice((0, 0, 1, -2)), rng.choice((0, 3))) for p in range(3) for y in range(5) for x in range(6)]
+    rows += [(9, 0, 0, 1, 4, 4), (9, 1, None, 1, 4, 4), (9, 1, 0, 1, None, 4), (9, 0, 1, 1, 0, 0)]
+    grid = spark.createDataFrame(rows, "pkt_no long, mb_x long, mb_y long, ref_id long, mv_x long, mv_y long")
+    out = {(r["pkt_no"], r["mb_x"], r["mb_y"]): tuple(r)[3:] for r in motion.neighbour_vectors(grid).collect()}
+    assert len(out) == len(rows) and out[9, 0, 1] == (1, 4, 4, 0, 0, 4, 4) and out[9, 1, 0] == (0,) * 7
+    d = decoder.Decoder(TABLES)
+    d.mb_w, d.mb_h = 6, 5
+    mode_of = {0: 0, 1: 1, 2: 6}
+    for p in range(3):
+        d.info = [(mode_of[r[3]], (r[4], r[5])) for r in rows if r[0] == p]
+        for _, x, y, ref, *_ in (r for r in rows if r[0] == p):
+            n, nearest, near, predicted = d._neighbours(x, y, ref)
+            assert out[p, x, y] == (n, *nearest, *near, *predicted)
+
+
 def test_format_names(spark):
     names = {r["name"]: r["s"] for r in formats.pixel_formats(spark).select("name", formats.short_name(F.col).alias("s")).collect()}
     assert names["rgb565"] == "bgr565le" and names["pal8"] == "pal8" and names["yuv420"] == "yuv422p" and names["yuva410"] == "yuva410p"
