@@ -78,14 +78,16 @@ def hot_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, l
     ``weight``. Rows of a hot key are dealt by a hash of ``left_id``, and the
     one row on the right is repeated for each share. Which keys are hot is
     known from the weights: fewer than ``HOT`` keys, which are broadcast.
-    The columns of both sides are returned.
+    Rows without a key match nothing and are dealt in turn. The columns of
+    both sides are returned.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
     hot = F.col(weight) > total / HOT
     mark, salt, other = free_name(left, "hot"), free_name(left, "salt"), free_name(right, "share")
     marks = F.broadcast(right.where(hot).select(F.col(right_key).alias(mark)))
     dealt = left.join(marks, F.col(left_key) == F.col(mark), "left")
-    dealt = dealt.withColumn(salt, F.when(F.col(mark).isNotNull(), F.pmod(F.xxhash64(left_id), F.lit(SALTS))).otherwise(0).cast("int"))
+    turn = F.when(F.col(left_key).isNull(), F.monotonically_increasing_id() % SALTS)
+    dealt = dealt.withColumn(salt, turn.when(F.col(mark).isNotNull(), F.pmod(F.xxhash64(left_id), F.lit(SALTS))).otherwise(0).cast("int"))
     shares = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = right.withColumn(other, F.explode(shares))
     return dealt.join(spread, (F.col(left_key) == F.col(right_key)) & (F.col(salt) == F.col(other)), how).drop(mark, salt, other)
