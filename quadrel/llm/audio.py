@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..session import map_arrow
 from .common import hot_join, materialise, small_batches
 
+# Fixed values of the WAV format: kinds of samples.
+PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 RATE, FRAME, HOP = 4000, 1024, 256
 CLASSES = 12
 LOW_HZ, HIGH_HZ = 55.0, 1760.0
@@ -39,7 +41,10 @@ CHUNK = 1 << 20
 
 
 def decode_wav(data: bytes | None) -> tuple[int, np.ndarray]:
-    """(rate, mono samples in -1..1) of PCM WAV data of 8, 16, 24 or 32 bits; anything else is silence of no length."""
+    """(rate, mono samples in -1..1) of WAV data: PCM of 8, 16, 24 or 32 bits or floats of 32 or 64, plain or extensible.
+
+    Anything else is silence of no length. Floats that are no numbers are 0.
+    """
     none = (RATE, np.zeros(0, np.float32))
     if not data or len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return none
@@ -49,13 +54,17 @@ def decode_wav(data: bytes | None) -> tuple[int, np.ndarray]:
         body = data[at + 8 : at + 8 + size]
         if name == b"fmt " and len(body) >= 16:
             form = struct.unpack_from("<HHIIHH", body)
+            if form[0] == EXTENSIBLE and len(body) >= 26:
+                form = (*struct.unpack_from("<H", body, 24), *form[1:])
         elif name == b"data" and form:
             tag, channels, rate, _, _, bits = form
             step = bits // 8 * channels
-            if tag != 1 or bits not in (8, 16, 24, 32) or not step or not rate:
+            if bits not in {PCM: (8, 16, 24, 32), FLOAT: (32, 64)}.get(tag, ()) or not step or not rate:
                 return none
             body = body[: len(body) // step * step]
-            if bits == 8:
+            if tag == FLOAT:
+                wave = np.clip(np.nan_to_num(np.frombuffer(body, f"<f{bits // 8}"), posinf=0, neginf=0), -1, 1).astype(np.float32)
+            elif bits == 8:
                 wave = (np.frombuffer(body, np.uint8).astype(np.float32) - 128) / 128
             elif bits == 24:
                 raw = np.frombuffer(body, np.uint8).reshape(-1, 3).astype(np.int32)
@@ -166,7 +175,7 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
 def fingerprints(recordings: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     """(rec_id, n_items, digest, items) of each recording; items are little-endian 32-bit integers.
 
-    Null audio, audio that is no PCM WAV and audio that is too short have no items.
+    Null audio, audio that ``decode_wav`` does not know and audio that is too short have no items.
     """
 
     def run(batches):

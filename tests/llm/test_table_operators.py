@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -342,6 +343,24 @@ def test_wav_round_trip_and_damage():
         assert len(audio.decode_wav(bad)[1]) == 0
 
 
+@pytest.mark.parametrize("extensible", [False, True])
+@pytest.mark.parametrize("tag,kind", [(1, "u1"), (1, "<i2"), (1, "<i4"), (3, "<f4"), (3, "<f8")])
+def test_kinds_of_wav(tag, kind, extensible):
+    wave = tune(np.random.default_rng(2), 2)
+    stereo, bits = np.stack([wave, wave], axis=1), 8 * np.dtype(kind).itemsize
+    body = (stereo if tag == 3 else np.round(stereo * (127 if bits == 8 else 2 ** (bits - 1) - 1)) + (128 if bits == 8 else 0)).astype(kind).tobytes()
+    form = struct.pack("<HHIIHH", 0xFFFE if extensible else tag, 2, 8000, 8000 * bits // 4, bits // 4, bits)
+    if extensible:
+        form += struct.pack("<HHIH", 22, bits, 3, tag) + bytes(14)
+    data = b"RIFF" + struct.pack("<I", 20 + len(form) + len(body)) + b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(body)) + body
+    rate, back = audio.decode_wav(data)
+    assert rate == 8000 and len(back) == len(wave) and np.abs(back - wave).max() < 0.02
+    if tag == 3:
+        odd = np.array([np.nan, np.inf, -np.inf, 5, -5], kind).tobytes()
+        start = data.index(b"data") + 8
+        assert set(audio.decode_wav(data[:start] + odd + data[start + len(odd) :])[1][:2].tolist()) <= {0.0, 0.5}
+
+
 def test_alignment_recall_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, waves = [], {}
