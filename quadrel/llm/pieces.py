@@ -32,8 +32,8 @@ SPACE = "▁"
 # Fixed values of the model file format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words in each of two tables and pairs of pieces remembered per worker, at most, and the longest such word: some 150 MB.
-_MOST_CACHED, _LONGEST_CACHED = 300_000, 64
+#: Words in each of two tables and pairs of pieces remembered per worker, at most, and the longest such word: some 60 MB.
+_MOST_CACHED, _LONGEST_CACHED = 120_000, 64
 
 
 def _fields(data: bytes):
