@@ -32,8 +32,8 @@ SPACE = "▁"
 # Fixed values of the model file format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words in each of two tables and pairs of pieces remembered per worker, at most, and the longest such word: some 60 MB.
-_MOST_CACHED, _LONGEST_CACHED = 120_000, 64
+#: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 80 MB.
+_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 120_000, 300_000, 64
 
 
 def _fields(data: bytes):
@@ -225,7 +225,7 @@ class Transducer:
         found = self._pairs.get(key)
         if found is None:
             left = self.pieces[before] if before >= 0 else ""
-            if len(self._pairs) >= _MOST_CACHED:
+            if len(self._pairs) >= _MOST_PAIRS:
                 self._pairs.clear()
             self._pairs[key] = found = self._merges_apart(left, self.pieces[piece])
         return found
@@ -284,7 +284,7 @@ class Transducer:
             found = self._older.get(word)
             if found is None:
                 found = np.array(self.shortest_path(word), dtype="<u4").tobytes()
-            if len(self._words) >= _MOST_CACHED:
+            if len(self._words) >= _MOST_WORDS:
                 # What is not asked for again while the new table fills is forgotten.
                 self._words, self._older = {}, self._words
             if len(word) <= _LONGEST_CACHED:
