@@ -33,7 +33,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 80 MB.
-_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 120_000, 300_000, 64
+_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 150_000, 300_000, 64
 
 
 def _fields(data: bytes):
