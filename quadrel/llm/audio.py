@@ -268,43 +268,44 @@ def histograms(index: Index, other: Index):
             theirs = np.repeat(heard[at], counts)
             query, rec = index.owner[mine], other.owner[theirs]
             offset = theirs - other.starts[rec] - mine + index.starts[query]
-            bins = np.unique((query * len(other.ids) + rec) * span + offset + back)
+            bins = np.sort((query * len(other.ids) + rec) * span + offset + back)
+            bins = bins[np.append(True, bins[1:] != bins[:-1])[: len(bins)]]
             pair = bins // span
             yield pair // len(other.ids), pair % len(other.ids), bins % span - back
 
 
-def _errors(index: Index, other: Index, query, rec, offset, step: int) -> np.ndarray:
-    """Different bits of each alignment, in every ``step``-th position of its overlap."""
+def _verified(index: Index, other: Index, query, rec, offset) -> tuple:
+    """(query, recording, offset, overlap, bit error) arrays of the alignments that count.
+
+    Positions are compared in turn; every few of them, alignments with more
+    different bits than the whole overlap allows are put aside, so all that
+    count are compared to their end.
+    """
     low = np.maximum(0, -offset)
-    counts = -(-(np.minimum(index.sizes[query], other.sizes[rec] - offset) - low) // step)
-    out = np.zeros(len(query), np.int64)
-    for a, b in _runs(counts):
-        n = counts[a:b]
-        along = _ragged(n) * step
-        mine = np.repeat((index.starts[query] + low)[a:b], n) + along
-        theirs = np.repeat((other.starts[rec] + low + offset)[a:b], n) + along
-        differ = np.bitwise_count(index.items[mine] ^ other.items[theirs])
-        out[a:b] = np.add.reduceat(differ, n.cumsum() - n, dtype=np.int64)
-    return out
+    overlap = np.minimum(index.sizes[query], other.sizes[rec] - offset) - low
+    # Longest first, so that those which go on are in front.
+    left = np.flatnonzero(overlap >= LEAST_OVERLAP)
+    left = left[np.argsort(-overlap[left], kind="stable")]
+    shorter = -overlap[left]
+    a, b = (index.starts[query] + low)[left], (other.starts[rec] + low + offset)[left]
+    errors = np.zeros(len(left), np.int64)
+    k = 0
+    while len(left) and k < -shorter[0]:
+        live = int(np.searchsorted(shorter, -k))
+        errors[:live] += np.bitwise_count(index.items[a[:live] + k] ^ other.items[b[:live] + k])
+        k += 1
+        if k % 12 == 0:
+            fits = errors <= MOST_ERRORS * 32 * -shorter + 1e-6
+            left, shorter, a, b, errors = left[fits], shorter[fits], a[fits], b[fits], errors[fits]
+    fits = errors <= MOST_ERRORS * 32 * -shorter + 1e-6
+    left, errors = left[fits], errors[fits]
+    return query[left], rec[left], offset[left], overlap[left], errors / (32 * overlap[left])
 
 
 def best_alignments(index: Index, other: Index) -> tuple:
-    """(query, recording, offset, overlap, bit error) arrays: the least of all voted alignments of each pair that count.
-
-    Bits that differ in a fourth of the positions already rule most of them
-    out, being no more than those in all.
-    """
+    """(query, recording, offset, overlap, bit error) arrays: the least of all voted alignments of each pair that count."""
     found = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),)]
-    for query, rec, offset in histograms(index, other):
-        overlap = np.minimum(index.sizes[query], other.sizes[rec] - offset) - np.maximum(0, -offset)
-        most = MOST_ERRORS * 32 * overlap + 1e-6
-        for step in (4, 1):
-            left = np.flatnonzero(overlap >= LEAST_OVERLAP)
-            query, rec, offset, overlap, most = (x[left] for x in (query, rec, offset, overlap, most))
-            errors = _errors(index, other, query, rec, offset, step)
-            left = np.flatnonzero(errors <= most)
-            query, rec, offset, overlap, most, errors = (x[left] for x in (query, rec, offset, overlap, most, errors))
-        found.append((query, rec, offset, overlap, errors / (32 * overlap)))
+    found += [_verified(index, other, *voted) for voted in histograms(index, other)]
     query, rec, offset, overlap, errors = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((offset, -overlap, errors, rec, query))
     query, rec, offset, overlap, errors = (x[order] for x in (query, rec, offset, overlap, errors))
