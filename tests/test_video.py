@@ -200,6 +200,35 @@ def test_batch_decoding_is_sequential_decoding(spark):
     assert planes.where("octet_length(data) != width * height").count() == 0
 
 
+def test_formats_are_subclasses(spark):
+    """A format of its own: one interpolator for all, and no filtered edges."""
+    used = []
+
+    class Plain(decoder.Decoder):
+        interpolators = dict.fromkeys(decoder.INTERPOLATORS, lambda area, mx, my, taps: used.append((mx, my)) or np.full((8, 8), 77))
+
+    d = Plain(TABLES)
+    source = np.zeros((16, 16), np.uint8)
+    target = source.copy()
+    for mv in ((0, 0), (3, 1), (64, -9)):
+        d.compensate(target, source, 8, 0, mv, 8, True)
+    assert used == [(0, 0), (6, 2), (0, 6)] and (target[:8, 8:] == 77).all() and not target[:, :8].any()
+
+    class Grey(decoder.Decoder):
+        def read_block(self, r, values, models, scan, plane, flags):
+            values[0] = 0
+
+        def parse(self, data):
+            h, r = super().parse(data)
+            h.use_huffman = False
+            return h, r
+
+    packets = spark.createDataFrame([("s", 0, synth.header(True, 20, 1, 1, payload=payload(1)))], carriers.PACKETS)
+    frame = streams.decode_streams(packets, TABLES, kind=Grey).first()
+    # The chroma planes start from 128 units of the quantiser, luma from none.
+    assert frame["status"] == "OK" and set(frame["y"]) == {128} and len(set(frame["u"])) == 1
+
+
 def test_groups_in_parallel_equal_streams_in_order(spark):
     rng = random.Random(7)
     rows = []
