@@ -167,12 +167,14 @@ class Transducer:
         self._compile()
 
     def _compile(self) -> None:
+        #: Arcs of the prefix tree: character to [arcs of the node behind it, piece that ends there or None].
         self.tree: dict = {}
         for p, i in self.ids.items():
             node = self.tree
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                arc = node.setdefault(c, [{}, None])
+                node = arc[0]
+            arc[1] = i
         long = [p for p in self.ids if len(p) > 1]
         #: No piece goes on with a space mark after another character, so words encode alone.
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in long)
@@ -242,11 +244,11 @@ class Transducer:
                 row = (before + 2) * width
                 node, j, single = tree, i, False
                 while j < n:
-                    node = node.get(text[j])
-                    if node is None:
+                    arc = node.get(text[j])
+                    if arc is None:
                         break
+                    node, piece = arc
                     j += 1
-                    piece = node.get("")
                     if piece is not None:
                         if j == i + 1:
                             single = True
@@ -261,9 +263,9 @@ class Transducer:
             worst = min(self.scores) - 10
             for i in range(n):
                 node, j, single = self.tree, i, False
-                while j < n and (node := node.get(text[j])) is not None:
+                while j < n and (arc := node.get(text[j])) is not None:
+                    node, piece = arc
                     j += 1
-                    piece = node.get("")
                     if piece is not None:
                         single |= j == i + 1
                         if (c := cost[i] - self.scores[piece]) < cost[j]:
@@ -283,7 +285,8 @@ class Transducer:
         if found is None:
             found = self._older.get(word)
             if found is None:
-                found = np.array(self.shortest_path(word), dtype="<u4").tobytes()
+                path = self.shortest_path(word)
+                found = struct.pack(f"<{len(path)}I", *path)
             if len(self._words) >= _MOST_WORDS:
                 # What is not asked for again while the new table fills is forgotten.
                 self._words, self._older = {}, self._words
