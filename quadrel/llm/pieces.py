@@ -32,8 +32,8 @@ SPACE = "▁"
 # Fixed values of the model file format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 80 MB.
-_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 150_000, 300_000, 64
+#: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 110 MB.
+_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 220_000, 300_000, 64
 
 
 def _fields(data: bytes):
@@ -167,14 +167,12 @@ class Transducer:
         self._compile()
 
     def _compile(self) -> None:
-        #: Arcs of the prefix tree: character to [arcs of the node behind it, piece that ends there or None].
         self.tree: dict = {}
         for p, i in self.ids.items():
             node = self.tree
             for c in p:
-                arc = node.setdefault(c, [{}, None])
-                node = arc[0]
-            arc[1] = i
+                node = node.setdefault(c, {})
+            node[""] = i
         long = [p for p in self.ids if len(p) > 1]
         #: No piece goes on with a space mark after another character, so words encode alone.
         self.by_word = all(SPACE not in p.lstrip(SPACE) for p in long)
@@ -244,11 +242,11 @@ class Transducer:
                 row = (before + 2) * width
                 node, j, single = tree, i, False
                 while j < n:
-                    arc = node.get(text[j])
-                    if arc is None:
+                    node = node.get(text[j])
+                    if node is None:
                         break
-                    node, piece = arc
                     j += 1
+                    piece = node.get("")
                     if piece is not None:
                         if j == i + 1:
                             single = True
@@ -263,9 +261,9 @@ class Transducer:
             worst = min(self.scores) - 10
             for i in range(n):
                 node, j, single = self.tree, i, False
-                while j < n and (arc := node.get(text[j])) is not None:
-                    node, piece = arc
+                while j < n and (node := node.get(text[j])) is not None:
                     j += 1
+                    piece = node.get("")
                     if piece is not None:
                         single |= j == i + 1
                         if (c := cost[i] - self.scores[piece]) < cost[j]:
