@@ -33,6 +33,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 110 MB.
+#: More words cost memory and save time; results are the same.
 _MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 220_000, 300_000, 64
 
 
@@ -139,7 +140,8 @@ class Normaliser:
 class Transducer:
     """The compiled model. Small enough to broadcast: its size is that of the vocabulary."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, most_words: int = _MOST_WORDS):
+        self.most_words = most_words
         self.pieces, self.scores, self.types = [], [], []
         self.kind, self.prefix, self.squeeze, self.escape = UNIGRAM, True, True, True
         charsmap = b""
@@ -285,7 +287,7 @@ class Transducer:
             if found is None:
                 path = self.shortest_path(word)
                 found = struct.pack(f"<{len(path)}I", *path)
-            if len(self._words) >= _MOST_WORDS:
+            if len(self._words) >= self.most_words:
                 # What is not asked for again while the new table fills is forgotten.
                 self._words, self._older = {}, self._words
             if len(word) <= _LONGEST_CACHED:
@@ -331,13 +333,13 @@ class Transducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-def load(path: str = MODEL_PATH) -> Transducer:
+def load(path: str = MODEL_PATH, most_words: int = _MOST_WORDS) -> Transducer:
     with open(path, "rb") as file:
-        return Transducer(file.read())
+        return Transducer(file.read(), most_words)
 
 
-def _sent(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast(load(path))
+def _sent(docs: DataFrame, path: str, most_words: int = _MOST_WORDS):
+    return docs.sparkSession.sparkContext.broadcast(load(path, most_words))
 
 
 def encode(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,7 +379,9 @@ def decode(coded: DataFrame, path: str = MODEL_PATH) -> DataFrame:
     return map_arrow(coded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
-def encoded_digests(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded_digests(
+    docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_id", text_col: str = "text", most_words: int = 400_000
+) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_byte_tokens, ids_digest, round_trip.
 
     ``ids_digest`` is the hex xxHash64 of the ids as little-endian 32-bit
@@ -385,7 +389,7 @@ def encoded_digests(docs: DataFrame, path: str = MODEL_PATH, id_col: str = "doc_
     text counts as empty. Row ids pass through, null and repeated ones too;
     an empty table gives no rows.
     """
-    held = _sent(docs, path)
+    held = _sent(docs, path, most_words)
 
     def run(batches):
         for batch in small_batches(batches, 1, 2 << 20):
