@@ -193,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = {r["doc_id"]: r["quality"] for r in chosen.limit(SAMPLE_ROWS).collect()}
     if not picked:
         return train_ids([], [])
-    asked = spark.createDataFrame([(i,) for i in picked], "picked long")
+    # Rows from a list would start Python workers of another kind, which stay beside those of the operators.
+    asked = spark.createDataFrame(pa.table({"picked": pa.array(list(picked), pa.int64())}))
     texts = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(asked), F.col("doc_id") == F.col("picked"))  # at most SAMPLE_ROWS ids

@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 BLOCK = 512
 _CHUNK_BYTES = 1 << 20
-_MOST_CACHED = 300_000
+_MOST_CACHED = 50_000
 
 _A, _B, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 

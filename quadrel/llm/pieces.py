@@ -32,9 +32,9 @@ SPACE = "▁"
 # Fixed values of the model file format: piece types, model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 110 MB.
+#: Words in each of two tables, and pairs of pieces, remembered per worker, at most, and the longest such word: some 60 MB.
 #: More words cost memory and save time; results are the same.
-_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 220_000, 300_000, 64
+_MOST_WORDS, _MOST_PAIRS, _LONGEST_CACHED = 50_000, 300_000, 64
 
 
 def _fields(data: bytes):

@@ -1,14 +1,19 @@
 """Joins on hot keys, and deleting intermediate tables."""
 
+import builtins
 import os
 import random
+import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quadrel.llm import common
 from quadrel.llm.graph import components
+from quadrel.session import map_arrow
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
@@ -51,3 +56,26 @@ def test_components_of_a_star_and_its_rays(spark):
     links = [(0, i) for i in range(1, 3000)] + [(i, 10_000 + i) for i in range(1, 3000, 3)] + [(20_001, 20_002)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(c == (20_001 if n > 20_000 else 0) for n, c in found.items()) and len(found) == 3000 + 1000 + 2
+
+
+def test_workers_keep_no_memory_that_their_tasks_have_freed(spark):
+    def own_mb():
+        with open("/proc/self/smaps_rollup") as file:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", file.read())[1]) / 1024
+
+    def large(batches):
+        # Blocks of the C heap, and one above them that stays.
+        blocks = [np.ones(12_000) for _ in range(1500)]
+        vars(builtins).setdefault("kept_by_test", []).append(np.ones(12_000))
+        yield from batches
+        assert len(blocks) == 1500
+
+    def look(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([own_mb()])], names=["mb"])
+
+    rows = spark.range(0, 4, 1, 4)
+    sizes = lambda: [r["mb"] for r in rows.mapInArrow(look, "mb double").collect()]
+    before = max(sizes())
+    assert map_arrow(rows, large, "id long").count() == 4
+    assert max(sizes()) < before + 70

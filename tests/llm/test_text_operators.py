@@ -5,6 +5,7 @@ import math
 import os
 import random
 import string
+import sys
 import re
 import zlib
 from collections import Counter
@@ -76,6 +77,17 @@ def test_classifier_trains_on_long_texts_and_all_their_tokens(spark):
     assert np.array_equal(same.words, model.words) and same.temperature == model.temperature
 
 
+def test_classifier_starts_no_python_workers_for_its_ids(spark, monkeypatch):
+    made = []
+    make = type(spark).createDataFrame
+    docs = docs_of(spark, [(i, f"some words {i}") for i in range(10)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)], "doc_id long, quality int")
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **k: made.append(make(self, *a, **k)) or made[-1])
+    classifier.fit(docs, labels)
+    # Rows from Python's lists come as an RDD that Python workers unpack.
+    assert made and not any("LogicalRDD" in x._jdf.queryExecution().analyzed().toString() for x in made)
+
+
 def test_pair_counts_in_parts_equal_counts_at_once():
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, 9, n) for n in (0, 1, 2, 3, 50, 700)]
@@ -436,6 +448,18 @@ def test_pieces_match_the_library(processor):
         assert t.decode(coded) == processor.decode(ids), text
 
 
+def test_remembered_words_stay_small(processor):
+    t = pieces.load()
+    for start in range(0, 300_000, 1000):
+        text = " ".join(f"w{i}" for i in range(start, start + 1000))
+        coded = t.encode(text)
+        if start % 50_000 == 0:
+            assert np.frombuffer(coded, "<u4").tolist() == processor.encode(text)
+    held = sum(sys.getsizeof(x) for d in (t._words, t._older) for x in (d, *d, *d.values()))
+    assert held < 20 << 20
+    assert np.frombuffer(t.encode("w1 w299999"), "<u4").tolist() == processor.encode("w1 w299999")
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
 @pytest.mark.parametrize("squeeze", [True, False])
 def test_character_maps_match_the_library(rule, squeeze):
